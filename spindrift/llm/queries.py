@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import decontaminate
+from spindrift.llm import decontaminate, simhash
 from spindrift.llm.common import table
 
 
@@ -10,8 +10,13 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_simhash_neardup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op8_simhash_neardup": op8_simhash_neardup,
 }
 
 ORACLES = {

@@ -180,3 +180,12 @@ def text_slices(column: pa.Array, most: int = 1 << 22):
     _, offsets = string_buffer(column)
     for a, b in slices(offsets, most):
         yield a, column.slice(a, b - a)
+
+
+def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    """A column as a single array, with wide offsets where it needs them."""
+    if isinstance(column, pa.Array):
+        return column
+    if column.num_chunks == 1:
+        return column.chunk(0)
+    return pa.concat_arrays([c.cast(pa.large_string()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_string())
