@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import decontaminate, simhash
+from spindrift.llm import decontaminate, line_dedup, simhash, toxicity
 from spindrift.llm.common import table
 
 
@@ -10,15 +10,27 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxic_documents(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_neardup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash_neardup": op8_simhash_neardup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }
