@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import decontaminate, line_dedup, simhash, toxicity
+from spindrift.llm import decontaminate, line_dedup, packing, simhash, toxicity, wavelet
 from spindrift.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_wavelet_tokens(spark, sf_dir):
+    return wavelet.wavelet_shards(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxic_documents(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
@@ -19,14 +23,20 @@ def op8_simhash_neardup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_wavelet_tokens": op4_wavelet_tokens,
     "op6_toxicity": op6_toxicity,
     "op8_simhash_neardup": op8_simhash_neardup,
+    "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
