@@ -7,7 +7,7 @@ softmax give its probability of being toxic.  Embeddings and outputs are trained
 full-batch with Adam, from documents with labels.  A misspelling that training hasn't seen
 shares most n-grams with the word it comes from.
 
-The model is trained on the driver from a sample of labelled documents: the ``per_class``
+The model is trained in one task, which sends the driver no more than the model, from a sample of labelled documents: the ``per_class``
 documents of either class with the least hash of doc_id.  That is the only bounded thing
 here and a documented parameter.  Every document is scored, over its whole text.
 
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from spindrift.llm import text_kernel as K
 from spindrift.shipping import ship
 
-PER_CLASS = 3000
+PER_CLASS = 2000
 BUCKETS = 1 << 18
 DIM = 8
 WINDOW = 16
-EPOCHS = 15
-FIRST = 6
+EPOCHS = 20
+SOME = 8
 ROUNDS = 5
 FLOOR = 96
 RATE = 0.1
@@ -66,7 +66,7 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
         owners.append(word[last])
     member, owner = np.concatenate(members), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return (member[order] % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(owner[order], np.arange(n + 1))
+    return (member % np.uint64(BUCKETS)).astype(np.int32)[order], np.searchsorted(owner[order], np.arange(n + 1))
 
 
 def parsed(texts: pa.Array):
@@ -195,8 +195,8 @@ def train(texts: pa.Array, toxic: np.ndarray, *, epochs: int = EPOCHS, seed: int
     """Fit on labelled texts.  Without both classes nothing is ever toxic.
 
     Members that fewer than ``LEAST`` training documents have are left out.  The first
-    rounds learn from whole documents; the last from the worst window of each document
-    under the model so far, which is what scoring looks at.
+    round learns from ``SOME`` random windows of each document, the others from the worst
+    window of each document under the model so far, which is what scoring looks at.
     """
     toxic = np.asarray(toxic, dtype=np.int64)
     if len(np.unique(toxic)) < 2:
@@ -221,18 +221,21 @@ def train(texts: pa.Array, toxic: np.ndarray, *, epochs: int = EPOCHS, seed: int
         np.zeros(2, np.float32),
     )
     scores = np.zeros(BUCKETS)
-    label, word_range = y, (lo, hi)
+    # the first round: some windows of each document, all with its label
+    n = hi - lo
+    owner = np.repeat(np.flatnonzero(n), SOME)
+    lo = lo[owner] + (rng.random(len(owner)) * np.maximum(1, n[owner] - WINDOW + 1)).astype(np.int64)
+    word_range, label = (lo, np.minimum(lo + WINDOW, rows[1:][owner])), y[owner]
+    clean = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for k in range(ROUNDS + 1):
-        _fit(_bags(*word_range, place, fresh, members, offs, known), label, params, epochs if k else FIRST)
+        _fit(_bags(*word_range, place, fresh, members, offs, known), label, params, epochs)
         scores[common] = params[0] @ (params[1][:, 1] - params[1][:, 0])
         model = Model(scores, params[2][1] - params[2][0])
-        if k < ROUNDS:
+        if k < ROUNDS:  # windows of clean documents that were the worst once stay
             lo, hi = model.worst(members, offs, place, rows)
-            if k:  # windows of clean documents that were the worst once stay
-                lo, hi = np.concatenate([lo, clean[0]]), np.concatenate([hi, clean[1]])
-            label = np.append(y, np.zeros(len(lo) - len(y), np.int64))
-            clean = lo[label == 0], hi[label == 0]
-            word_range = lo, hi
+            word_range = np.concatenate([lo, clean[0]]), np.concatenate([hi, clean[1]])
+            label = np.append(y, np.zeros(len(clean[0]), np.int64))
+            clean = word_range[0][label == 0], word_range[1][label == 0]
     at = model.score(texts.filter(pa.array(held)))
     model.threshold = best_threshold(at, toxic[held])
     return model
@@ -271,17 +274,22 @@ def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -
     if not rows:
         return Model(np.zeros(BUCKETS), 0.0, np.inf)
     chosen = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int"))  # 2 x per_class rows
-    got = (
+    sample = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .where("text is not null")
         .join(chosen, "doc_id")
-        .toArrow()
-        .combine_chunks()
-        .sort_by([("doc_id", "ascending"), ("text", "ascending")])
     )
-    if not got.num_rows:
+    ship(spark)
+
+    def fit(tab):
+        tab = tab.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        m = train(K.one_array(tab["text"]), tab["toxic"].to_numpy())
+        return pa.table({"scores": pa.array([m.scores.tobytes()]), "bias": [m.bias], "threshold": [m.threshold]})
+
+    got = sample.withColumn("one", F.col("toxic") * 0).groupBy("one").applyInArrow(fit, "scores binary, bias double, threshold double").collect()
+    if not got:
         return Model(np.zeros(BUCKETS), 0.0, np.inf)
-    return train(K.one_array(got["text"]), got["toxic"].to_numpy())
+    return Model(np.frombuffer(got[0]["scores"], np.float32), got[0]["bias"], got[0]["threshold"])
 
 
 def toxic_documents(docs: DataFrame, model: Model) -> DataFrame:
