@@ -33,7 +33,7 @@ FANOUT = 3
 
 
 class Runs:
-    """Levelled sorted runs of (h1, h2, doc, line): a line's hash and its first place."""
+    """Levelled sorted runs of (h1, h2, doc, tag, line): a line's hash and its first place."""
 
     def __init__(self, spark, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
@@ -65,7 +65,7 @@ class Runs:
 
     def add(self, batch: DataFrame) -> None:
         """The lines of a batch that no run has, as a run of level 0; full levels move up."""
-        fresh = batch.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("at")).select("h1", "h2", "at.doc", "at.line")
+        fresh = batch.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tag", "line")).alias("at")).select("h1", "h2", "at.doc", "at.tag", "at.line")
         for run in self.all():
             fresh = fresh.join(run, ["h1", "h2"], "left_anti")
         new, k = self._store(fresh), 0
@@ -85,30 +85,31 @@ class Runs:
 
 
 def line_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(h1, h2, doc, line): hashes and places of the lines that can be repeated."""
-    lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    """(h1, h2, doc, tag, line): hashes and places of the lines that can be repeated; ``tag``
+    is the hash of the whole text, which tells apart rows that share a doc_id."""
+    lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     trimmed = F.trim("raw")
-    return lines.where(F.char_length(trimmed) >= least).select(F.xxhash64(trimmed).alias("h1"), F.xxhash64(F.lit("second"), trimmed).alias("h2"), "doc", "line")
+    return lines.where(F.char_length(trimmed) >= least).select(F.xxhash64(trimmed).alias("h1"), F.xxhash64(F.lit("second"), trimmed).alias("h2"), "doc", "tag", "line")
 
 
 def removed_lines(docs: DataFrame, *, least: int = LEAST, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(doc, gone): the sorted numbers, from 0, of the lines that a document loses."""
+    """(doc, tag, gone): the sorted numbers, from 0, of the lines that a document loses."""
     spark = docs.sparkSession
     lines = written(line_table(docs, least), "lines")
     lo, hi = lines.agg(F.min("doc"), F.max("doc")).first()
     runs = Runs(spark, fanout)
     if lo is None:
-        return spark.createDataFrame([], "doc long, gone array<int>")
+        return spark.createDataFrame([], "doc long, tag long, gone array<int>")
     width = max(1, -(-(hi - lo + 1) // batches))
     for b in range(batches):
         if lo + b * width <= hi:
             runs.add(lines.where(F.col("doc").between(lo + b * width, lo + (b + 1) * width - 1)))
     gone = None
     for run in runs.all():
-        first = run.withColumnsRenamed({"doc": "first_doc", "line": "first_line"})
-        part = lines.join(first, ["h1", "h2"]).where("doc <> first_doc or line <> first_line").select("doc", "line")
+        first = run.withColumnsRenamed({"doc": "first_doc", "tag": "first_tag", "line": "first_line"})
+        part = lines.join(first, ["h1", "h2"]).where("doc <> first_doc or tag <> first_tag or line <> first_line").select("doc", "tag", "line")
         gone = part if gone is None else gone.unionAll(part)
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    return gone.groupBy("doc", "tag").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def _without(text, gone):
@@ -130,13 +131,13 @@ def deduplicated(docs: DataFrame, *, least: int = LEAST, batches: int = BATCHES,
     their order, with one line feed between them.  A document may be left with empty text.
 
     Null texts stay null.  Rows without doc_id have no place in the order: they stay as
-    they are and don't make other lines repeated.  Rows that repeat a doc_id are one
-    document, whose lines are told apart by their numbers only: each row loses the lines of
-    the numbers that the document loses.  Other columns are not looked at.
+    they are and don't make other lines repeated.  Rows that repeat both doc_id and text are
+    one document and lose the same lines; rows of one doc_id with different texts are
+    documents in the order of their texts' hashes.  Other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = removed_lines(docs, least=least, batches=batches, fanout=fanout)
-    both = docs.join(gone, docs["doc_id"] == gone["doc"], "left")
+    both = docs.join(gone, (docs["doc_id"] == gone["doc"]) & (F.xxhash64(docs["text"]) == gone["tag"]), "left")
     return both.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"),
@@ -151,8 +152,8 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = removed_lines(narrow, **options)
     fresh = uuid.uuid4().hex[:8]
-    gone = gone.select(F.col("doc").alias(f"doc_{fresh}"), F.col("gone").alias(f"gone_{fresh}"))
-    both = docs.join(gone, docs["doc_id"].cast("long") == gone[f"doc_{fresh}"], "left")
+    gone = gone.select(F.col("doc").alias(f"doc_{fresh}"), F.col("tag").alias(f"tag_{fresh}"), F.col("gone").alias(f"gone_{fresh}"))
+    both = docs.join(gone, (docs["doc_id"].cast("long") == gone[f"doc_{fresh}"]) & (F.xxhash64(docs["text"].cast("string")) == gone[f"tag_{fresh}"]), "left")
     lost = F.col(f"gone_{fresh}")
     text = F.when(lost.isNull(), F.col("text")).otherwise(_without(F.col("text"), lost))
     both = both.withColumn("text", text).where(lost.isNull() | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))

@@ -33,12 +33,12 @@ PER_CLASS = 2000
 BUCKETS = 1 << 18
 DIM = 8
 WINDOW = 16
-EPOCHS = 20
-SOME = 8
-ROUNDS = 5
+EPOCHS = 12
+SOME = 4
+ROUNDS = 8
 FLOOR = 96
 RATE = 0.1
-DECAY = 1e-6
+DECAY = 1e-4
 LEAST = 5
 GRAMS = (3, 4, 5)
 
