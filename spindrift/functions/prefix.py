@@ -18,7 +18,7 @@ def with_ranges(df: DataFrame, key: str, name: str, ranges: int | None = None) -
     """``df`` with the number of its range of ``key`` (a double without nulls) as ``name``."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
-    splits = [-float("inf"), *cuts, float("inf")]
+    splits = [-float("inf"), *(c for c in cuts or [0.0] if abs(c) != float("inf")), float("inf")]
     return Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep").transform(df)
 
 
