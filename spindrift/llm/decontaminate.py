@@ -193,10 +193,10 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SH
 
         def run(batches, index=index):
             for batch in batches:
-                bad = np.zeros(batch.num_rows, bool)
                 for a, texts in K.text_slices(batch.column(at)):
-                    bad[a + index.value.search(texts)[0]] = True
-                yield batch.filter(pa.array(~bad))
+                    good = np.ones(len(texts), bool)
+                    good[index.value.search(texts)[0]] = False
+                    yield batch.slice(a, len(texts)).filter(pa.array(good))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -321,9 +321,8 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            bad = np.zeros(batch.num_rows, bool)
-            for a, texts in K.text_slices(batch.column(at)):
-                bad[a : a + len(texts)] = shared.value.score(texts) > shared.value.threshold
-            yield batch.filter(pa.array(~bad))
+            for a, texts in K.text_slices(batch.column(at), 1 << 21):
+                good = ~(shared.value.score(texts) > shared.value.threshold)
+                yield batch.slice(a, len(texts)).filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
