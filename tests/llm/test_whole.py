@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import quality, queries
+from spindrift.llm import line_dedup, quality, queries
+from spindrift.llm.common import table
 from tests.oracle import compare
 
 
@@ -32,3 +33,9 @@ def test_quality_is_the_sql_without_its_length_limit(spark):
     limit = "length(trim(x, ' ')) <= 400 and "
     assert queries.ORACLES["op5_quality_lines"].count(limit) == 2
     compare(spark, "op5", queries.op5_quality_lines, queries.ORACLES["op5_quality_lines"].replace(limit, ""))
+
+
+def test_least_of_one_removes_every_repeat(spark):
+    limit = f">= {line_dedup.LEAST} "
+    assert queries.ORACLES["op10_line_dedup"].count(limit) == 1
+    compare(spark, "op10", lambda s, d: line_dedup.deduplicated(table(s, d, "documents"), least=1), queries.ORACLES["op10_line_dedup"].replace(limit, ">= 1 "))
