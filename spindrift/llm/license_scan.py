@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form in which equal licences are equal: lines that only
-state a copyright are dropped, case is folded, everything but letters and digits becomes
+A text is brought to a canonical form in which equal licences are equal: copyright
+statements at the start of a line are dropped, case is folded, everything but letters and digits becomes
 one space, and equivalent spellings become one.  The digest of the canonical form is
 hash-joined to the digests of known licences.  Two kinds of text are looked up: whole
 documents, and each line of a document, as short notices stand on a line of their own.
@@ -20,7 +20,17 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.license_texts import LICENSES
 
+# what the SQL drops, whole lines; the code drops statements only
 _COPYRIGHT = r"^[ \t]*(copyright|\(c\)|©)[^\n]*"
+_YEAR = r"[<\[{(]?(?:[0-9]{4}|(?i:yyyy|year))"
+_OPENING = r"permission[ \t]+(?:is|to)[ \t]|redistribution[ \t]+and[ \t]+use|(?:licensed|released)[ \t]+under|this[ \t]+(?:software|program|work|library|file)[ \t]+is[ \t]|everyone[ \t]+is[ \t]+permitted"
+# copyright with a sign, a year or a name, or a sign with a year, up to the words that open a licence
+_STATEMENT = (
+    r"^[ \t]*(?:(?i:copyright)[ \t:]*(?:(?i:\(c\))|©|" + _YEAR + r"|(?i:by)[ \t]+[A-Z])"
+    r"|Copyright[ \t]+(?!(?i:licen[cs]e|notice|law|act\b|right|holder|owner|statement|interest|treat|office))[A-Z<\[{]"
+    r"|©|(?i:\(c\))(?:[ \t]*(?i:copyright)\b|(?=[^\n]*\b(?:19|20)[0-9]{2}\b)))"
+    r"[^\n]*?(?=(?i:" + _OPENING + r")|$)"
+)
 _RIGHTS = r"^[ \t]*all rights reserved[. \t]*$"
 _OTHER = r"[^\p{L}\p{N}]+"
 #: (spelling, spelling that stands for both); none makes a text longer
@@ -47,8 +57,7 @@ SPELLINGS = (
 
 def canonical(text: str) -> str:
     """The canonical form, in Python; used for the known texts."""
-    t = text.lower()
-    t = re.sub(_COPYRIGHT, " ", t, flags=re.M)
+    t = re.sub(_STATEMENT, " ", text, flags=re.M).lower()
     t = re.sub(_RIGHTS, " ", t, flags=re.M)
     t = re.sub(r"[\W_]+", " ", t).strip()
     for a, b in SPELLINGS:
@@ -57,8 +66,7 @@ def canonical(text: str) -> str:
 
 
 def canonical_column(text: Column) -> Column:
-    t = F.lower(text)
-    t = F.regexp_replace(t, "(?m)" + _COPYRIGHT, " ")
+    t = F.lower(F.regexp_replace(text, "(?m)" + _STATEMENT, " "))
     t = F.regexp_replace(t, "(?m)" + _RIGHTS, " ")
     t = F.trim(F.regexp_replace(t, _OTHER, " "))
     for a, b in SPELLINGS:
@@ -80,7 +88,8 @@ def scanned(docs: DataFrame, licenses=LICENSES) -> DataFrame:
 
     ``scope`` is ``document``, where the whole text is the licence (``line`` is -1 then), or
     ``line``, where the line of that number, from 0, is.  A document of a single line can
-    have both.  Copyright lines are no part of a licence's text.
+    have both.  Copyright statements are no part of a licence's text; a line that merely goes on
+    with "copyright notice" is.
 
     Null and empty texts match nothing.  Rows without doc_id are reported with a null
     doc_id, repeated rows each.  Other columns are not looked at.

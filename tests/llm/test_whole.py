@@ -1,9 +1,13 @@
 """Results that a bound in the code used to cut."""
 
+import textwrap
+
+import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import line_dedup, quality, queries
+from spindrift.llm import license_scan, line_dedup, quality, queries
 from spindrift.llm.common import table
+from spindrift.llm.license_texts import LICENSES
 from tests.oracle import compare
 
 
@@ -39,3 +43,33 @@ def test_least_of_one_removes_every_repeat(spark):
     limit = f">= {line_dedup.LEAST} "
     assert queries.ORACLES["op10_line_dedup"].count(limit) == 1
     compare(spark, "op10", lambda s, d: line_dedup.deduplicated(table(s, d, "documents"), least=1), queries.ORACLES["op10_line_dedup"].replace(limit, ">= 1 "))
+
+
+def wrapped(text, width):
+    return "\n".join(textwrap.fill(line, width, break_on_hyphens=False, break_long_words=False) for line in text.split("\n"))
+
+
+def test_licenses_match_at_any_line_width(spark):
+    full = [(n, t) for n, t in LICENSES if len(t) > 400]
+    heads = ["", "Copyright (c) 2020 Jane Doe\n\n", "Copyright 1999-2003, The Foo Authors. All rights reserved.\n", "Copyright Jane Doe\n", "© Jane Doe\n", "(c) Jane Doe 2011\n", "Copyright (c) <year> <owner>. "]
+    rows, want = [], set()
+    for n, t in full:
+        for width in (*range(40, 101, 3), 10_000):
+            for head in heads if width == 10_000 else heads[:2]:
+                if head.endswith(" ") and not t.startswith(("Permission", "Redistribution", "Licensed", "This software is")):
+                    continue
+                want.add((len(rows), n))
+                rows.append((len(rows), head + wrapped(t, width)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in license_scan.scanned(df).where("scope = 'document'").collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("line", ["copyright notice and this", "COPYRIGHT HOLDERS AND", "copyright owner or", "Copyright License. Subject to", "(c) You must retain", "copyright (and only"])
+def test_prose_is_no_copyright_statement(line):
+    assert license_scan.canonical(line) != ""
+
+
+@pytest.mark.parametrize("line", ["Copyright (c) 2020 Jane", "  copyright 2011-2013 jane", "Copyright: © Jane", "(C) 2020 Jane", "Copyright [yyyy] [name of copyright owner]", "COPYRIGHT (C) JANE", "Copyright by Jane", "(c) Copyright Jane"])
+def test_copyright_statements_go(line):
+    assert license_scan.canonical(line) == ""
