@@ -18,6 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.license_digests import DIGESTS
 from spindrift.llm.license_texts import LICENSES
 
 # what the SQL drops, whole lines; the code drops statements only
@@ -83,9 +84,12 @@ def known(licenses=LICENSES) -> list[tuple[str, str, int]]:
     return [(d, n, s) for d, (n, s) in out.items()]
 
 
-def scanned(docs: DataFrame, licenses=LICENSES) -> DataFrame:
+def scanned(docs: DataFrame, licenses=LICENSES, digests=DIGESTS) -> DataFrame:
     """(doc_id, scope, line, license): every known licence that a document is or has.
 
+    Known are the texts of ``licenses`` and, by digest alone, those of ``digests``, as
+    (identifier, digest, characters of the canonical form).
+
     ``scope`` is ``document``, where the whole text is the licence (``line`` is -1 then), or
     ``line``, where the line of that number, from 0, is.  A document of a single line can
     have both.  Copyright statements are no part of a licence's text; a line that merely goes on
@@ -95,9 +99,9 @@ def scanned(docs: DataFrame, licenses=LICENSES) -> DataFrame:
     doc_id, repeated rows each.  Other columns are not looked at.
     """
     spark = docs.sparkSession
-    table = known(licenses)
-    shortest = min((s for _, _, s in table), default=0)
-    digests = spark.createDataFrame([(d, n) for d, n, _ in table], "digest string, license string")
+    table = {d: (n, s) for n, d, s in digests} | {d: (n, s) for d, n, s in known(licenses)}
+    shortest = min((s for _, s in table.values()), default=0)
+    digests = spark.createDataFrame([(d, n) for d, (n, _) in table.items()], "digest string, license string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.char_length("text") >= shortest)
     whole = docs.select("doc_id", F.lit("document").alias("scope"), F.lit(-1).alias("line"), F.col("text").alias("unit"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.char_length("unit") >= shortest)

@@ -1,6 +1,8 @@
 """Results that a bound in the code used to cut."""
 
+import re
 import textwrap
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +75,21 @@ def test_prose_is_no_copyright_statement(line):
 @pytest.mark.parametrize("line", ["Copyright (c) 2020 Jane", "  copyright 2011-2013 jane", "Copyright: © Jane", "(C) 2020 Jane", "Copyright [yyyy] [name of copyright owner]", "COPYRIGHT (C) JANE", "Copyright by Jane", "(c) Copyright Jane"])
 def test_copyright_statements_go(line):
     assert license_scan.canonical(line) == ""
+
+
+COMMON = Path("/usr/share/common-licenses")
+WHOLE = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3-only", "BSD": "BSD-3-Clause"}
+
+
+def test_whole_licenses_match(spark):
+    bsd = next(t for n, t in LICENSES if n == "BSD-3-Clause")
+    rows = [("bullets", "BSD-3-Clause", re.sub(r"(?m)^[0-9]\. ", " * ", bsd))]
+    for file, name in WHOLE.items():
+        if (COMMON / file).exists():
+            text = (COMMON / file).read_text()
+            rows.append((file, name, text))
+            if file in ("Apache-2.0", "GPL-2", "GPL-3"):
+                rows.append((file + " without appendix", name, text[: text.index("END OF TERMS AND CONDITIONS")]))
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {rows[r.doc_id][0]: r.license for r in license_scan.scanned(df).where("scope = 'document'").collect()}
+    assert got == {what: name for what, name, _ in rows}
