@@ -34,13 +34,18 @@ FOLLOW = 0.6
 SIBLING = 0.8
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg|textarea)\b.*?(?:</\1\s*>|\Z)|<!(?!--)[^>]*>?|<\?[^>]*>?"
+    r"<!--.*?(?:-->|\Z)|<!(?!--)[^>]*>?|<\?[^>]*>?"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?",
     re.S | re.I,
 )
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+# elements whose content is skipped; without an end tag HTML gives the rest of the page to those of _RAW
+_RAW = frozenset("script style textarea".split())
+_SKIPPED = _RAW | frozenset("noscript template svg".split())
+_IN_HEAD = frozenset("meta link base basefont bgsound script style noscript template title".split())
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _SKIPPED | {"title"}}
 _VOID = frozenset("hr br img input meta link".split())
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
 _GOOD, _BAD = frozenset({"article", "main"}), frozenset({"nav", "footer", "aside", "header", "form", "menu"})
@@ -54,7 +59,11 @@ _DIGIT = re.compile(r"\d")
 
 def blocks(page: str) -> tuple[list[str], list[float], list[int], list[int], list[str], list[int]]:
     """Of each block: text, share of linked characters, parent element, place (1 content,
-    0 boilerplate, -1 unknown) and tag; last, the parent of every element."""
+    0 boilerplate, -1 unknown) and tag; last, the parent of every element.
+
+    The head ends at its end tag or at the first text or tag that can't be in it.  Skipped
+    elements without end tag lose only their tag, but script, style and textarea take the
+    rest of the page."""
     texts: list[str] = []
     links: list[float] = []
     owner: list[int] = []
@@ -64,6 +73,7 @@ def blocks(page: str) -> tuple[list[str], list[float], list[int], list[int], lis
     stack = [0]
     pieces: list[str] = []
     linked, linked_chars, at = 0, 0, 0
+    in_head, endless = False, set()
 
     def flush():
         nonlocal linked_chars
@@ -78,22 +88,39 @@ def blocks(page: str) -> tuple[list[str], list[float], list[int], list[int], lis
             pieces.clear()
         linked_chars = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
+            if in_head and not piece.isspace():
+                in_head = False
             if linked:
                 linked_chars += len(piece)
         at = m.end()
-        name = m.group(3)
+        name = m.group(2)
         if name is None:
             continue
         name = name.lower()
+        if name == "head":
+            in_head = not m.group(1)
+            continue
+        if not m.group(1) and (name in _SKIPPED or in_head and name == "title") and not (name == "svg" and m.group().endswith("/>")):
+            end = None if name in endless else _ENDS[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in _RAW:
+                at = len(page)
+            else:
+                endless.add(name)
+        if in_head:
+            if name in _IN_HEAD:
+                continue
+            in_head = False
         if name == "a":
-            linked = 0 if m.group(2) else 1
+            linked = 0 if m.group(1) else 1
         elif name in _BLOCK:
             flush()
-            if m.group(2):
+            if m.group(1):
                 for k in range(len(stack) - 1, 0, -1):
                     if names[stack[k]] == name:
                         del stack[k:]
@@ -106,7 +133,7 @@ def blocks(page: str) -> tuple[list[str], list[float], list[int], list[int], lis
                 if name in _VOID:
                     continue
                 mark = marks[stack[-1]]
-                if name in _BAD or (m.group(4) and _MARK.search(m.group(4))):
+                if name in _BAD or (m.group(3) and _MARK.search(m.group(3))):
                     mark = 0
                 elif name in _GOOD and mark != 0:
                     mark = 1

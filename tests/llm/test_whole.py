@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import license_scan, line_dedup, quality, queries
+from spindrift.llm import html_extract, license_scan, line_dedup, quality, queries
 from spindrift.llm.common import table
 from spindrift.llm.license_texts import LICENSES
 from tests.oracle import compare
@@ -93,3 +93,21 @@ def test_whole_licenses_match(spark):
     df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
     got = {rows[r.doc_id][0]: r.license for r in license_scan.scanned(df).where("scope = 'document'").collect()}
     assert got == {what: name for what, name, _ in rows}
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<html><head><title>T</title><body><p>content", ["content"]),
+        ("<html><head><meta charset=utf-8><title>How <div> works</title><script>w('<p>x</p>')</script><p>content", ["content"]),
+        ("<head><title>T</title>content<p>more", ["content", "more"]),
+        ("<head><style>p{}</style></head><header>top</header><p>content", ["top", "content"]),
+        ("<p>one<svg class='i' /><p>two<svg><text>no</text></svg><p>three", ["one", "two", "three"]),
+        ("<p>one<svg><p>two", ["one", "two"]),
+        ("<p>one<template><noscript><p>two<svg-icon><p>three", ["one", "two", "three"]),
+        ("<p>one<script>var x = '<p>no'", ["one"]),
+        ("<p>one" + "<svg><template>" * 50_000 + "<p>two", ["one", "two"]),
+    ],
+)
+def test_missing_end_tags_lose_no_text(page, want):
+    assert html_extract.blocks(page)[0] == want
