@@ -149,6 +149,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, t
     Columns ``doc_id, item_id, containment``: the share, rounded to 6 digits, of the
     item's distinct ``shingle``-word shingles that occur in the document, where it is
     ``threshold`` at least.  An item shorter than ``shingle`` words is one shingle.
+    Longer documents have no such shingle: a shorter item is found only in documents that
+    consist of exactly its words, and isn't searched inside others.
 
     Null or empty texts, and texts without words, contain nothing and are contained in
     nothing.  A row without doc_id is reported with a null doc_id.  Repeated document rows
