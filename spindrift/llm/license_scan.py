@@ -6,8 +6,7 @@ one space, and equivalent spellings become one.  The digest of the canonical for
 hash-joined to the digests of known licences.  Two kinds of text are looked up: whole
 documents, and each line of a document, as short notices stand on a line of their own.
 
-All of it is built-in functions; the table of known digests is small and joined like any
-table, so Spark broadcasts it when its size allows and shuffles otherwise.
+All of it is built-in functions.
 """
 
 from __future__ import annotations
@@ -34,6 +33,7 @@ _STATEMENT = (
 )
 _RIGHTS = r"^[ \t]*all rights reserved[. \t]*$"
 _OTHER = r"[^\p{L}\p{N}]+"
+_OTHER_INSIDE = r"[^\p{L}\p{N}\n]+"
 #: (spelling, spelling that stands for both); none makes a text longer
 SPELLINGS = (
     ("licence", "license"),
@@ -56,6 +56,9 @@ SPELLINGS = (
     ("https www", "http www"),
 )
 
+MOST_BROADCAST = 1_000_000
+
+
 def canonical(text: str) -> str:
     """The canonical form, in Python; used for the known texts."""
     t = re.sub(_STATEMENT, " ", text, flags=re.M).lower()
@@ -66,13 +69,26 @@ def canonical(text: str) -> str:
     return t
 
 
-def canonical_column(text: Column) -> Column:
+def _plain(text: Column) -> Column:
+    """Canonical but for the spellings, with the line feeds kept."""
     t = F.lower(F.regexp_replace(text, "(?m)" + _STATEMENT, " "))
     t = F.regexp_replace(t, "(?m)" + _RIGHTS, " ")
-    t = F.trim(F.regexp_replace(t, _OTHER, " "))
+    return F.regexp_replace(t, _OTHER_INSIDE, " ")
+
+
+def _spelled(text: Column) -> Column:
     for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def canonical_units(text: Column) -> Column:
+    """The canonical forms of a text and its lines: element 0 is the whole, k + 1 line k.
+
+    All expressions work inside a line, so they run once, over the whole text."""
+    lines = F.transform(F.split(_plain(text), "\n"), lambda x: F.trim(x))
+    once = F.transform(F.array(lines), lambda t: F.concat(F.array(F.array_join(F.filter(t, lambda x: x != ""), " ")), t))
+    return F.transform(F.flatten(once), _spelled)
 
 
 def known(licenses=LICENSES) -> list[tuple[str, str, int]]:
@@ -95,18 +111,23 @@ def scanned(docs: DataFrame, licenses=LICENSES, digests=DIGESTS) -> DataFrame:
     have both.  Copyright statements are no part of a licence's text; a line that merely goes on
     with "copyright notice" is.
 
-    Null and empty texts match nothing.  Rows without doc_id are reported with a null
-    doc_id, repeated rows each.  Other columns are not looked at.
+    Null and empty texts match nothing.  Texts and lines of any length are looked up whole.
+    Rows without doc_id are reported with a null doc_id, repeated rows each.  Other columns
+    are not looked at.  An empty table gives an empty result.
+
+    Documents are scanned once and brought to canonical form once; only forms as long as
+    that of a known licence are hashed.  The known digests are broadcast while they are
+    fewer than ``MOST_BROADCAST``, and joined as Spark sees fit beyond.
     """
     spark = docs.sparkSession
     table = {d: (n, s) for n, d, s in digests} | {d: (n, s) for d, n, s in known(licenses)}
-    shortest = min((s for _, s in table.values()), default=0)
+    lengths = F.array(*[F.lit(s) for s in sorted({s for _, s in table.values()})])
     digests = spark.createDataFrame([(d, n) for d, (n, _) in table.items()], "digest string, license string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.char_length("text") >= shortest)
-    whole = docs.select("doc_id", F.lit("document").alias("scope"), F.lit(-1).alias("line"), F.col("text").alias("unit"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.char_length("unit") >= shortest)
-    units = whole.unionAll(lines.select("doc_id", F.lit("line").alias("scope"), "line", "unit"))
-    hashed = units.select("doc_id", "scope", "line", F.md5(canonical_column(F.col("unit"))).alias("digest"))
+    if len(table) < MOST_BROADCAST:
+        digests = F.broadcast(digests)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    units = docs.select("doc_id", F.posexplode(canonical_units(F.col("text"))).alias("k", "unit")).where(F.array_contains(lengths, F.char_length("unit")))
+    hashed = units.select("doc_id", F.when(F.col("k") == 0, "document").otherwise("line").alias("scope"), F.greatest(F.col("k") - 1, F.lit(-1)).alias("line"), F.md5("unit").alias("digest"))
     return hashed.join(digests, "digest").select("doc_id", "scope", "line", "license")
 
 
