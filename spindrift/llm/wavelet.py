@@ -19,10 +19,13 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,22 +53,27 @@ def encoding(path: str = VOCABULARY):
 
 
 _WHITE_RUN = 4096
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _WHITE_RUN)
 
 
 def token_ids(enc, text: str) -> list[int]:
-    """Ids of a whole text.  The tokenizer's regular expression is quadratic in a run of
-    white space or of one class without a break, so very long runs are encoded in pieces."""
-    if len(text) <= _WHITE_RUN:
+    """Ids of a whole text, those of the tokenizer itself.
+
+    Its regular expression backtracks over a run of white space, and overflows its stack
+    where the run is very long.  Such a run, without its last character where text
+    follows, is one piece by the expression, so it is encoded as that and the text around
+    it on its own.
+    """
+    if len(text) < _WHITE_RUN:
         return enc.encode_ordinary(text)
     out: list[int] = []
-    start, n = 0, len(text)
-    while start < n:
-        end = min(n, start + (1 << 20))
-        if end < n:
-            cut = text.rfind(" ", start + 1, end)
-            end = cut if cut > start else end
-        out.extend(enc.encode_ordinary(text[start:end]))
+    start = 0
+    for m in _WHITE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out.extend(enc.encode_ordinary(text[start : m.start()]))
+        out.extend(enc._encode_single_piece(text[m.start() : end]))
         start = end
+    out.extend(enc.encode_ordinary(text[start:]))
     return out
 
 
@@ -123,7 +131,9 @@ class WaveletMatrix:
 
     @classmethod
     def open(cls, path: str) -> WaveletMatrix:
-        with open(path, "rb") as f:
+        """A blob from a path or URI of any file system that Arrow knows."""
+        fs, at = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(at) as f:
             return cls(f.read())
 
     @classmethod
@@ -233,8 +243,9 @@ def wavelet_shards(docs: DataFrame, *, vocabulary: str = VOCABULARY, shard_token
     Documents are not shuffled: a shard holds consecutive rows of its partition.
 
     Null and empty texts are documents of no tokens.  Null doc_ids are kept as nulls in
-    ``doc_ids``; repeated rows are stored each.  An empty table gives no shard.  Other
-    columns are not looked at.
+    ``doc_ids``; repeated rows are stored each.  Texts of any length are stored whole, with
+    the ids that the tokenizer gives.  An empty table gives no shard.  Other columns are
+    not looked at.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -280,23 +291,26 @@ def wavelet_shards(docs: DataFrame, *, vocabulary: str = VOCABULARY, shard_token
 
 
 def write_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """Each shard's blob as ``<folder>/<shard>.wm`` (a folder that all executors share).
+    """Each shard's blob as ``<folder>/<shard>.wm``; ``folder`` is an absolute path or a
+    URI (hdfs, s3, gs, file) of a file system that all executors reach.
 
-    A file is written under another name and renamed, so a task that is run again replaces
-    it whole.  Gives (shard, path, n_bytes).
+    A file is written under a name of its own and renamed, so a task that is run again, or
+    twice at once, replaces it whole.  Gives (shard, path, n_bytes); nothing for an empty
+    table.
     """
     ship(shards.sparkSession)
+    folder = folder.rstrip("/")
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                path = os.path.join(folder, f"{name}.wm")
-                draft = f"{path}.{os.getpid()}.part"
-                with open(draft, "wb") as f:
+                draft = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(draft) as f:
                     f.write(blob)
-                os.replace(draft, path)
-                yield pa.RecordBatch.from_pylist([{"shard": name, "path": path, "n_bytes": len(blob)}])
+                fs.move(draft, f"{root}/{name}.wm")
+                yield pa.RecordBatch.from_pylist([{"shard": name, "path": f"{folder}/{name}.wm", "n_bytes": len(blob)}])
 
     return shards.select("shard", "blob").mapInArrow(run, "shard string, path string, n_bytes long")
 
