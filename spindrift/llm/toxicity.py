@@ -7,13 +7,20 @@ softmax give its probability of being toxic.  Embeddings and outputs are trained
 full-batch with Adam, from documents with labels.  A misspelling that training hasn't seen
 shares most n-grams with the word it comes from.
 
-The model is trained in one task, which sends the driver no more than the model, from a sample of labelled documents: the ``per_class``
-documents of either class with the least hash of doc_id.  That is the only bounded thing
-here and a documented parameter.  Every document is scored, over its whole text.
+The model is trained from a sample of labelled documents: the ``per_class`` documents of
+either class with the least hash of doc_id, and ``FIRST`` of their windows in the first
+round.  These are the only bounded things here and documented parameters.  Every document
+is scored, over its whole text.
 
 Average over a long text drowns a toxic sentence, so a document is scored by windows of
-``WINDOW`` words, half overlapping, and by its worst window.  The threshold is
-the middle of the widest range of scores that does best on labelled documents kept out of training.
+``WINDOW`` words, half overlapping, and by its worst window.  A window's average is over the
+members of its distinct words, and over ``FLOOR`` members at least, so that a text of two
+words needs stronger evidence than a sentence.
+
+The model is cross-fitted: the sample is cut into ``FOLDS`` parts, each fit leaves one out,
+and the folds' fits, tasks of their own, are averaged, which is one linear model again.  The
+threshold is the middle of the widest range of scores that does best on documents scored by
+the fit that didn't see them.
 
 As the outputs are linear, scoring needs one number for each member, the difference of its
 two logits; words are scored once in each slice of a batch.
@@ -34,7 +41,8 @@ BUCKETS = 1 << 18
 DIM = 8
 WINDOW = 16
 EPOCHS = 12
-SOME = 4
+FIRST = 16_000
+FOLDS = 4
 ROUNDS = 8
 FLOOR = 96
 RATE = 0.1
@@ -91,20 +99,13 @@ class Model:
 
     def windows(self, members, offs, place, rows):
         """Logits of all windows, their word ranges, and the rows' first windows."""
-        weight = np.diff(offs)
+        weight = np.diff(offs).astype(np.float64)
         value = np.add.reduceat(self.scores[members], offs[:-1], dtype=np.float64)
-        new = fresh_words(place, rows)
-        s = np.concatenate([[0.0], np.cumsum(value[place] * new)])
-        c = np.concatenate([[0], np.cumsum(weight[place] * new)])
-        n = np.diff(rows)
-        half = WINDOW // 2
-        count = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // half) + 1), 0)
-        ends = np.cumsum(count)
-        k = np.arange(ends[-1]) - np.repeat(ends - count, count)
-        lo = np.repeat(rows[:-1], count) + k * half
-        hi = np.minimum(lo + WINDOW, np.repeat(rows[1:], count))
-        lo = np.maximum(np.repeat(rows[:-1], count), np.minimum(lo, hi - WINDOW))
-        return (s[hi] - s[lo]) / np.maximum(c[hi] - c[lo], FLOOR) + self.bias, lo, hi, np.append(0, ends)
+        lo, hi, at = word_windows(rows)
+        word, begin = new_words(lo, hi, previous(place, rows))
+        total = np.add.reduceat(value[place[word]], begin)
+        count = np.add.reduceat(weight[place[word]], begin)
+        return total / np.maximum(count, FLOOR) + self.bias, lo, hi, at
 
     def worst(self, members, offs, place, rows):
         """Word range of each row's worst window; an empty range where there are no words."""
@@ -127,45 +128,68 @@ class Model:
         return out
 
 
-def fresh_words(place: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Which words count: those that their text hasn't had in the ``WINDOW`` words before,
-    so that a word repeated over and over is averaged with its neighbours, not with itself."""
+def word_windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ranges of the windows of all rows, and the rows' offsets into the windows."""
+    n = np.diff(rows)
+    half = WINDOW // 2
+    count = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // half) + 1), 0)
+    ends = np.cumsum(count)
+    k = np.arange(ends[-1]) - np.repeat(ends - count, count)
+    first, stop = np.repeat(rows[:-1], count), np.repeat(rows[1:], count)
+    lo = first + k * half
+    hi = np.minimum(lo + WINDOW, stop)
+    return np.maximum(first, np.minimum(lo, hi - WINDOW)), hi, np.append(0, ends)
+
+
+def previous(place: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where the text had each word before, -1 for a word's first time."""
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     order = np.lexsort((row, place)) if len(rows) > 2 else np.argsort(place, kind="stable")
-    again = np.zeros(len(place), bool)
+    before = np.full(len(place), -1, np.int64)
     a, b = order[:-1], order[1:]
-    again[b] = (place[a] == place[b]) & (row[a] == row[b]) & (b - a <= WINDOW)
-    return ~again
+    again = (place[a] == place[b]) & (row[a] == row[b])
+    before[b[again]] = a[again]
+    return before
 
 
-def _bags(lo: np.ndarray, hi: np.ndarray, place: np.ndarray, new: np.ndarray, members: np.ndarray, offs: np.ndarray, known: np.ndarray):
-    """Averages as sparse rows: for word ranges [lo, hi) the known members' columns, their
-    shares of all members of the range, and the offsets of the ranges."""
+def new_words(lo: np.ndarray, hi: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the ranges [lo, hi), each distinct word of a range once, and where each
+    range begins among them."""
     n = hi - lo
-    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    bag, word = np.repeat(np.arange(len(lo)), n)[new[at]], place[at[new[at]]]
-    pair, count = np.unique(bag * (len(offs) - 1) + word, return_counts=True)
-    bag, word = pair // (len(offs) - 1), pair % (len(offs) - 1)
+    word = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    new = before[word] < np.repeat(lo, n)
+    begin = np.concatenate([[0], np.cumsum(np.add.reduceat(new, np.cumsum(n) - n, dtype=np.int64))])[:-1] if len(n) else np.zeros(0, np.int64)
+    return word[new], begin
+
+
+def _bags(lo: np.ndarray, hi: np.ndarray, place: np.ndarray, before: np.ndarray, members: np.ndarray, offs: np.ndarray, known: np.ndarray):
+    """Averages as sparse rows: for word ranges [lo, hi), none empty, the known members'
+    columns, their shares of all members of the range, the offsets of the ranges, and each
+    entry's range."""
+    word, begin = new_words(lo, hi, before)
+    bag = np.repeat(np.arange(len(lo)), np.diff(np.append(begin, len(word))))
+    word = place[word]
     size = np.diff(offs)[word]
-    total = np.bincount(bag, count * size, len(lo))
+    total = np.bincount(bag, size, len(lo))
     column = known[members[np.repeat(offs[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())]]
+    bag = np.repeat(bag, size)
+    bag, column = bag[column >= 0], column[column >= 0]
     width = int(known.max()) + 2
-    key = np.repeat(bag, size) * width + column
-    held = column >= 0
-    key, weight = key[held], np.repeat(count, size)[held]
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], weight[order]
+    key = np.sort(bag * width + column)
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    key, weight = key[first], np.add.reduceat(weight, first) if len(first) else weight
-    bag, column = key // width, key % width
-    return column, (weight / np.maximum(total, FLOOR)[bag]).astype(np.float32)[:, None], np.searchsorted(bag, np.arange(len(lo) + 1)), bag
-
-
-def _run_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(offsets) - 1, values.shape[1]), np.float32)
-    some = np.flatnonzero(np.diff(offsets))
-    if len(some):
-        out[some] = np.add.reduceat(values, offsets[some])
+    times = np.diff(np.append(first, len(key)))
+    bag, column = (key[first] // width).astype(np.int32), (key[first] % width).astype(np.int32)
+    return column, (times / np.maximum(total, FLOOR)[bag]).astype(np.float32)[:, None], np.searchsorted(bag, np.arange(len(lo) + 1)), bag
+
+
+def _gathered_sums(table: np.ndarray, index: np.ndarray, share: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``table[index] * share`` over the runs between offsets, some entries at a time."""
+    out = np.zeros((len(offsets) - 1, table.shape[1]), np.float32)
+    for a, b in K.slices(offsets, 1 << 15):
+        lo, hi = offsets[a], offsets[b]
+        some = np.flatnonzero(np.diff(offsets[a : b + 1]))
+        if len(some):
+            out[a + some] = np.add.reduceat(table[index[lo:hi]] * share[lo:hi], offsets[a + some] - lo)
     return out
 
 
@@ -175,46 +199,45 @@ def _fit(bags, y: np.ndarray, params, epochs: int) -> None:
     E, W, b = params
     by_column = np.argsort(column, kind="stable")
     column_at = np.searchsorted(column[by_column], np.arange(len(E) + 1))
+    bag, share_of = bag[by_column], share[by_column]
+    del by_column
     state = [(np.zeros_like(q), np.zeros_like(q)) for q in params]
     target = np.eye(2, dtype=np.float32)[y]
     balance = (1 / (2 * np.maximum(1, np.bincount(y, minlength=2))))[y][:, None]
     for t in range(1, epochs + 1):
-        H = _run_sums(E[column] * share, at)
+        H = _gathered_sums(E, column, share, at)
         z = H @ W + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         dz = ((p - target) * balance).astype(np.float32)
-        dE = _run_sums(((dz @ W.T)[bag] * share)[by_column], column_at) + DECAY * E
+        dE = _gathered_sums(dz @ W.T, bag, share_of, column_at) + DECAY * E
         for q, g, (m, v) in zip(params, (dE, H.T @ dz + DECAY * W, dz.sum(axis=0)), state):
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
             q -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-8)
 
 
-def train(texts: pa.Array, toxic: np.ndarray, *, epochs: int = EPOCHS, seed: int = 0) -> Model:
-    """Fit on labelled texts.  Without both classes nothing is ever toxic.
+def fitted(texts: pa.Array, toxic: np.ndarray, *, epochs: int = EPOCHS, seed: int = 0) -> Model | None:
+    """One fit on labelled texts, without a threshold; none without words of both classes.
 
     Members that fewer than ``LEAST`` training documents have are left out.  The first
-    round learns from ``SOME`` random windows of each document, the others from the worst
-    window of each document under the model so far, which is what scoring looks at.
+    round learns from ``FIRST`` windows in all, evenly drawn from the documents, the others
+    from the worst window of each document under the model so far, which is what scoring
+    looks at.
     """
-    toxic = np.asarray(toxic, dtype=np.int64)
-    if len(np.unique(toxic)) < 2:
-        return Model(np.zeros(BUCKETS), 0.0, np.inf)
+    y = np.asarray(toxic, dtype=np.int64)
+    members, offs, place, rows = parsed(texts)
+    filled = np.diff(rows) > 0
+    if len(np.unique(y[filled])) < 2:
+        return None
     rng = np.random.default_rng(seed)
-    held = np.zeros(len(toxic), bool)
-    for c in (0, 1):
-        mine = np.flatnonzero(toxic == c)
-        held[rng.permutation(mine)[: len(mine) // 5]] = True
-    learn, y = texts.filter(pa.array(~held)), toxic[~held]
-    members, offs, place, rows = parsed(learn)
-    lo, hi, fresh = rows[:-1], rows[1:], fresh_words(place, rows)
-    doc_word = np.unique(np.repeat(np.arange(len(y)), hi - lo) * (len(offs) - 1) + place)
+    before = previous(place, rows)
+    doc_word = np.unique(np.repeat(np.arange(len(y)), np.diff(rows)) * (len(offs) - 1) + place)
     times = np.bincount(doc_word % (len(offs) - 1), minlength=len(offs) - 1)
     common = np.bincount(members, np.repeat(times, np.diff(offs)), BUCKETS) >= LEAST
     known = np.where(common, np.cumsum(common) - 1, -1)
     if not common.any():
-        return Model(np.zeros(BUCKETS), 0.0, np.inf)
+        return None
     params = (
         rng.normal(0, 0.1, (int(common.sum()), DIM)).astype(np.float32),
         rng.normal(0, 0.1, (DIM, 2)).astype(np.float32),
@@ -222,82 +245,136 @@ def train(texts: pa.Array, toxic: np.ndarray, *, epochs: int = EPOCHS, seed: int
     )
     scores = np.zeros(BUCKETS)
     # the first round: some windows of each document, all with its label
-    n = hi - lo
-    owner = np.repeat(np.flatnonzero(n), SOME)
-    lo = lo[owner] + (rng.random(len(owner)) * np.maximum(1, n[owner] - WINDOW + 1)).astype(np.int64)
-    word_range, label = (lo, np.minimum(lo + WINDOW, rows[1:][owner])), y[owner]
+    lo, hi, at = word_windows(rows)
+    of = np.repeat(np.arange(len(y)), np.diff(at))
+    drawn = rng.permutation(len(lo))
+    turn = np.empty(len(lo), np.int64)  # how many of its document were drawn before
+    drawn = drawn[np.argsort(of[drawn], kind="stable")]
+    turn[drawn] = np.arange(len(lo)) - at[of[drawn]]
+    some = np.sort(np.lexsort((of, turn))[:FIRST])
+    word_range, label = (lo[some], hi[some]), y[of[some]]
+    docs = np.flatnonzero(filled)
     clean = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for k in range(ROUNDS + 1):
-        _fit(_bags(*word_range, place, fresh, members, offs, known), label, params, epochs)
+        _fit(_bags(*word_range, place, before, members, offs, known), label, params, epochs)
         scores[common] = params[0] @ (params[1][:, 1] - params[1][:, 0])
         model = Model(scores, params[2][1] - params[2][0])
         if k < ROUNDS:  # windows of clean documents that were the worst once stay
-            lo, hi = model.worst(members, offs, place, rows)
+            lo, hi = (x[docs] for x in model.worst(members, offs, place, rows))
             word_range = np.concatenate([lo, clean[0]]), np.concatenate([hi, clean[1]])
-            label = np.append(y, np.zeros(len(clean[0]), np.int64))
+            label = np.append(y[docs], np.zeros(len(clean[0]), np.int64))
             clean = word_range[0][label == 0], word_range[1][label == 0]
-    at = model.score(texts.filter(pa.array(held)))
-    model.threshold = best_threshold(at, toxic[held])
     return model
 
 
+def fold_fit(texts: pa.Array, toxic: np.ndarray, fold: np.ndarray, k: int, **options) -> tuple[Model | None, np.ndarray]:
+    """A fit without the documents of fold ``k``, and the scores that it gives those."""
+    own = pa.array(fold == k)
+    model = fitted(texts.filter(pa.array(fold != k)), toxic[fold != k], seed=k, **options)
+    held = texts.filter(own)
+    return model, model.score(held) if model else np.full(len(held), -np.inf)
+
+
+def averaged(models: list[Model], score: np.ndarray, toxic: np.ndarray) -> Model:
+    """The mean of the folds' linear scores, which is one model again, with the threshold
+    that suits the scores of documents under the fit that didn't see them."""
+    if not models:
+        return nothing()
+    scores = np.mean([m.scores for m in models], axis=0)
+    return Model(scores, np.mean([m.bias for m in models]), best_threshold(score, toxic))
+
+
+def nothing() -> Model:
+    """A model that finds nothing toxic."""
+    return Model(np.zeros(BUCKETS), 0.0, np.inf)
+
+
+def train(texts: pa.Array, toxic: np.ndarray, **options) -> Model:
+    """Cross-fitted model of labelled texts.  Without both classes nothing is ever toxic."""
+    toxic = np.asarray(toxic, dtype=np.int64)
+    fold = np.zeros(len(toxic), np.int64)
+    for c in (0, 1):
+        fold[toxic == c] = np.arange((toxic == c).sum()) % FOLDS
+    fits = [fold_fit(texts, toxic, fold, k, **options) for k in range(FOLDS)]
+    used = [k for k in range(FOLDS) if fits[k][0]]
+    held = [np.flatnonzero(fold == k) for k in used]
+    return averaged([fits[k][0] for k in used], np.concatenate([fits[k][1] for k in used] or [[]]), toxic[np.concatenate(held or [np.zeros(0, np.int64)])])
+
+
 def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     """Middle of the gap between scores where balanced accuracy is highest; of several such
-    gaps the widest."""
+    gaps the widest.  Infinite where one of the classes has no score."""
     finite = np.isfinite(score)
     score, y = score[finite], y[finite]
     if len(np.unique(y)) < 2:
-        return 0.0
+        return np.inf
     order = np.argsort(score, kind="stable")
     score, y = score[order], y[order]
-    below = np.cumsum(1 - y) / (1 - y).sum() + (1 - np.cumsum(y) / y.sum())
+    good = np.cumsum(1 - y) / (1 - y).sum() + (1 - np.cumsum(y) / y.sum())
     gap = np.append(np.diff(score), 0)
-    below[:-1][gap[:-1] <= 0] = -1
-    best = np.flatnonzero(below >= below.max() - 1e-12)
+    good[:-1][gap[:-1] <= 0] = -np.inf
+    best = np.flatnonzero(good >= good.max() - 1e-12)
     k = best[np.argmax(gap[best])]
     return float(score[k] + gap[k] / 2)
 
 
 def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> Model:
-    """Fit on the ``per_class`` labelled documents of either class with least hashes.
+    """Cross-fitted on the ``per_class`` labelled documents of either class with least hashes.
 
-    Labels other than 0 and 1, labels without a document and null texts aren't used.  A
-    document with several labels is toxic if one of them says so.
+    Labels other than 0 and 1, labels without a document and null texts aren't used and
+    don't count towards the bound; rows that repeat a doc_id are used each.  A document
+    with several labels is toxic if one of them says so.  Without labels of both classes,
+    nothing is ever toxic.
     """
     spark = docs.sparkSession
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    labels = labels.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = [
         labels.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
         for c in (0, 1)
     ]
-    rows = [(r["doc_id"], r["toxic"]) for part in picked for r in part]
+    rows = [(r["doc_id"], r["toxic"], i % FOLDS) for part in picked for i, r in enumerate(part)]
     if not rows:
-        return Model(np.zeros(BUCKETS), 0.0, np.inf)
-    chosen = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int"))  # 2 x per_class rows
-    sample = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .where("text is not null")
-        .join(chosen, "doc_id")
-    )
+        return nothing()
+    chosen = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int, fold int"))  # 2 x per_class rows
+    sample = texts.join(chosen, "doc_id")
     ship(spark)
 
-    def fit(tab):
+    def fit(key, tab):
         tab = tab.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        m = train(K.one_array(tab["text"]), tab["toxic"].to_numpy())
-        return pa.table({"scores": pa.array([m.scores.tobytes()]), "bias": [m.bias], "threshold": [m.threshold]})
-
-    got = sample.withColumn("one", F.col("toxic") * 0).groupBy("one").applyInArrow(fit, "scores binary, bias double, threshold double").collect()
-    if not got:
-        return Model(np.zeros(BUCKETS), 0.0, np.inf)
-    return Model(np.frombuffer(got[0]["scores"], np.float32), got[0]["bias"], got[0]["threshold"])
+        fold, toxic, k = tab["fold"].to_numpy(), tab["toxic"].to_numpy(), key[0].as_py()
+        m, score = fold_fit(K.one_array(tab["text"]), toxic, fold, k)
+        return pa.table(
+            {
+                "k": pa.array([k], pa.int32()),
+                "scores": pa.array([m and m.scores.tobytes()], pa.binary()),
+                "bias": pa.array([m and m.bias], pa.float64()),
+                "held": pa.array([score.tolist()], pa.list_(pa.float64())),
+                "toxic": pa.array([toxic[fold == k].tolist()], pa.list_(pa.int32())),
+            }
+        )
+
+    got = (
+        sample.withColumn("k", F.explode(F.array(*map(F.lit, range(FOLDS)))))
+        .groupBy("k")
+        .applyInArrow(fit, "k int, scores binary, bias double, held array<double>, toxic array<int>")
+        .where("scores is not null")
+        .collect()
+    )
+    got.sort(key=lambda r: r["k"])
+    models = [Model(np.frombuffer(r["scores"], np.float32), r["bias"]) for r in got]
+    return averaged(models, np.array([x for r in got for x in r["held"]]), np.array([x for r in got for x in r["toxic"]]))
 
 
 def toxic_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): the documents whose worst window is above the threshold.
 
-    ``score`` is the worst window's logit above the threshold, rounded to 6 digits.  Null
-    or empty texts and texts without words are never toxic.  A row without doc_id is
-    reported with a null doc_id, repeated rows each.  Other columns are not looked at.
+    ``score`` is the worst window's logit above the threshold, rounded to 6 digits; a text
+    at the threshold isn't toxic.  Null or empty texts and texts without words are never
+    toxic.  Texts of any length are scored whole.  A row without doc_id is reported with a
+    null doc_id, repeated rows each.  Other columns are not looked at.  An empty table gives
+    an empty result.
     """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
@@ -314,7 +391,9 @@ def toxic_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all their columns; judged row by row."""
+    """The rows of ``docs`` that ``toxic_documents`` doesn't report, with all their columns;
+    judged row by row, so null and empty texts and rows without doc_id stay, and repeated
+    rows stay or go together."""
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
