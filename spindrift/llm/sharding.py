@@ -6,12 +6,13 @@ each group and repeatedly combines the two with the largest spread (largest minu
 sum), the largest sum of the one with the smallest of the other; what is left in the end is
 the partition.
 
-At scale this runs in two levels with the same rule.  Groups are hashed to buckets of about
+At scale this runs in levels with the same rule.  Groups are hashed to buckets of about
 ``BUCKET_GROUPS`` groups; a task differences one bucket to a single partial partition and
-remembers the slot of each group.  The driver then differences the buckets' partial
-partitions, K numbers for each bucket, and the result says which shard every slot of every
-bucket becomes.  Combining partial partitions is what the method does anyway, so the second
-level loses nothing but the order of some combinations.
+remembers the slot of each group.  ``FAN`` buckets' partial partitions at a time are
+differenced by the next level's tasks, and so on until one is left; then each level, from
+the top, tells the one below which shard its slots become.  Nothing is collected on the
+driver.  Combining partial partitions is what the method does anyway, so the levels lose
+nothing but the order of some combinations.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from spindrift.shipping import ship
 
 SHARDS = 64
 BUCKET_GROUPS = 20_000
+FAN = 4096
 
 
 def differencing(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,15 +122,17 @@ def one_group_each(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, slot
 
 
-def sharded(docs: DataFrame, *, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
+def sharded(docs: DataFrame, *, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS, fan: int = FAN) -> DataFrame:
     """(doc_id, group, n_bytes, shard): every row's shard, from 0 to ``shards`` - 1.
 
     ``group`` is the 64-bit hash of the text and ``n_bytes`` its UTF-8 length; all rows of
     a group have the same shard.  Null texts are one group of 0 bytes, empty texts another.
-    Rows without doc_id and repeated rows are placed like any other.  Other columns are not
-    looked at.  With fewer groups than shards, some shards stay empty.
+    Rows without doc_id and repeated rows are placed like any other.  Equal sizes are taken
+    in the order of their groups' hashes, so the result depends on the rows alone.  Texts of
+    any length count whole.  Other columns are not looked at.  With fewer groups than
+    shards, some shards stay empty; an empty table gives an empty result.
     """
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(F.col("text").isNull(), F.xxhash64(F.lit(0), F.lit("null"))).otherwise(F.xxhash64(F.col("text").cast("string"))).alias("group"),
@@ -145,19 +149,42 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, bucket_groups: int = BUCKE
         n = tab.num_rows
         return pa.table(
             {
-                "bucket": pa.array(np.full(n, key[0].as_py(), np.int32)),
+                "bucket": pa.array(np.full(n, key[0].as_py(), np.int64)),
                 "group": tab["group"],
                 "slot": pa.array(slot.astype(np.int32)),
                 "sums": pa.array([sums.tolist()] + [None] * (n - 1), pa.list_(pa.int64())),
             }
         )
 
-    split = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
-    slots = written(split.groupBy("bucket").applyInArrow(bucket, "bucket int, group long, slot int, sums array<long>"), "slots")
-    parts = slots.where("sums is not null").select("bucket", "sums").orderBy("bucket").collect()
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, group long, n_bytes long, shard int")
-    _, final = differencing(np.array([p["sums"] for p in parts], np.int64))
-    names = spark.createDataFrame([(p["bucket"], final[i].tolist()) for i, p in enumerate(parts)], "bucket int, shards array<int>")
+    split = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)))
+    slots = written(split.groupBy("bucket").applyInArrow(bucket, "bucket long, group long, slot int, sums array<long>"), "slots")
+    names = shard_names(slots.where("sums is not null").select("bucket", "sums"), buckets, fan)
     where = slots.join(names, "bucket").select("group", F.element_at("shards", F.col("slot") + 1).alias("shard"))
     return rows.join(where, "group").select("doc_id", "group", "n_bytes", "shard")
+
+
+def shard_names(parts: DataFrame, buckets: int, fan: int = FAN) -> DataFrame:
+    """(bucket, shards): for partial partitions (bucket, sums), numbered below ``buckets``,
+    the shard that each slot becomes."""
+
+    def combine(key, tab):
+        tab = tab.sort_by("bucket")
+        sums, final = differencing(np.array(tab["sums"].to_pylist(), np.int64))
+        n = tab.num_rows
+        return pa.table(
+            {
+                "bucket": tab["bucket"],
+                "upper": pa.array(np.full(n, key[0].as_py(), np.int64)),
+                "shards": pa.array(final.tolist(), pa.list_(pa.int32())),
+                "sums": pa.array([sums.tolist()] + [None] * (n - 1), pa.list_(pa.int64())),
+            }
+        )
+
+    upper = parts.withColumn("upper", F.floor(F.col("bucket") / fan).cast("long"))
+    level = upper.groupBy("upper").applyInArrow(combine, "bucket long, upper long, shards array<int>, sums array<long>")
+    if buckets <= fan:
+        return level.select("bucket", "shards")
+    level = written(level, "level")
+    above = shard_names(level.where("sums is not null").select(F.col("upper").alias("bucket"), "sums"), -(-buckets // fan), fan)
+    above = above.select(F.col("bucket").alias("upper"), F.col("shards").alias("renamed"))
+    return level.join(above, "upper").select("bucket", F.transform("shards", lambda s: F.element_at("renamed", s + 1)).alias("shards"))
