@@ -12,12 +12,14 @@ down, and what remains, a few items for each basis pattern, is packed best-fit d
 Patterns become bins by rank: the items of a class are ranked, pattern p owns a range of
 each class's ranks, and an item finds its bin from its rank by division.  Ranks are counted
 in buckets (by hash of doc_id) with prefix sums of the bucket counts, so no window holds a
-whole class.  What is broadcast is the table of ranges, of at most (classes x patterns)
-rows, which doesn't grow with the data.
+whole class.  The driver sees one row for each class, and what is broadcast is the table of
+ranges, of at most (classes x patterns) rows; neither grows with the data.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -71,23 +73,26 @@ def gauss_inverse(a: np.ndarray) -> np.ndarray:
     return w[:, n:]
 
 
-def column_generation(size: np.ndarray, demand: np.ndarray, units: int, most: int = 5000) -> tuple[np.ndarray, np.ndarray, float]:
+def column_generation(size: np.ndarray, demand: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Patterns (one for each row) and their fractional uses that cover ``demand`` with
     the fewest bins, and a lower bound of that optimum.  Sizes and units are whole numbers.
 
     Demands are shifted by different small amounts while pivoting, which keeps a degenerate
-    basis from cycling.  It ends when the bound, the objective over the best price of a
+    basis from cycling; they are drawn anew every 2000 pivots.  It ends when the bound, the objective over the best price of a
     pattern, is within a quarter of a bin or a part in 100,000."""
     m = len(size)
-    exact, demand = demand, demand + 1e-3 * np.random.default_rng(m).random(m)
+    rng = np.random.default_rng(m)
+    exact, demand = demand, demand + 1e-3 * rng.random(m)
     bound = 0.0
     patterns = np.diag(units // size).astype(np.float64)  # columns: as often as one class fits
     inverse = np.diag(1.0 / np.diag(patterns))
     x = inverse @ demand
-    for step in range(most):
+    for step in count():
         if step % 200 == 199:
             inverse = gauss_inverse(patterns)
-            x = inverse @ demand
+            if step % 2000 == 1999:
+                demand = exact + 1e-3 * rng.random(m)
+            x = np.maximum(inverse @ demand, 0)
         dual = inverse.sum(axis=0)
         value, column = knapsack(dual, size, units)
         bound = max(bound, float(dual @ exact) / max(value, 1.0))
@@ -157,17 +162,17 @@ def ranges(patterns: np.ndarray, used: np.ndarray) -> list[tuple[int, int, int,
 
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, tokens) of every row."""
+    """(doc_id, tag, tokens) of every row; ``tag`` is the hash of the text."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         enc = encoding(vocabulary)
         for batch in batches:
-            size = [len(token_ids(enc, t.as_py() or "")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64())], names=["doc_id", "tokens"])
+            size = [len(token_ids(enc, t.as_py() or "")) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64())], names=["doc_id", "tag", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, tokens long")
+    return docs.mapInArrow(run, "doc_id long, tag long, tokens long")
 
 
 def packed(docs: DataFrame, *, capacity: int = CAPACITY, grain: int = GRAIN, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -178,40 +183,43 @@ def packed(docs: DataFrame, *, capacity: int = CAPACITY, grain: int = GRAIN, voc
     most.  First come the bins of the patterns, then the bins that hold one full piece.
 
     Null and empty texts have no tokens and no row.  Rows without doc_id, and rows that
-    repeat one, are packed each, in the order of their lengths; nothing else tells them
-    apart.  Other columns are not looked at.  An empty table gives an empty result.
+    repeat one, are packed each, in the order of their lengths and hashes; of rows that are
+    equal in all of these either may come first, with the same result.  Documents of equal
+    length are ranked by doc_id.  Texts of any length are packed whole.  Other columns are
+    not looked at.  An empty table gives an empty result.
     """
     if capacity % grain:
         raise ValueError("the grain must divide the capacity")
     spark = docs.sparkSession
     counts = written(token_counts(docs, vocabulary).where("tokens > 0"), "tokens")
-    rows, full = counts.agg(F.count("*"), F.coalesce(F.sum(F.floor(F.col("tokens") / capacity)), F.lit(0))).first()
-    buckets = max(1, -(-rows // BUCKET_ROWS))
+    buckets = max(1, -(-counts.count() // BUCKET_ROWS))
     placed = counts.select(
         "doc_id",
+        "tag",
         "tokens",
         F.floor(F.col("tokens") / capacity).cast("long").alias("full"),
         (F.col("tokens") % capacity).alias("rest"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("doc_id", "tag"), F.lit(buckets)).alias("bucket"),
     ).withColumn("class", F.ceil(F.col("rest") / grain).cast("int"))
-    histogram = placed.groupBy("class", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("full")).orderBy("class", "bucket").collect()
-
-    items = {}
-    for r in histogram:
-        if r["class"]:
-            items[r["class"]] = items.get(r["class"], 0) + r["n"]
-    size = np.array(sorted(items), np.int64)
-    demand = np.array([items[int(s)] for s in size], np.int64)
+    histogram = placed.groupBy("class", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
+    # one row for each class: at most capacity / grain + 1, whatever the data
+    by_size = histogram.groupBy("class").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).orderBy("class").collect()
+    items = [r for r in by_size if r["class"]]
+    size, demand = np.array([r["class"] for r in items], np.int64), np.array([r["n"] for r in items], np.int64)
     patterns, used, _ = plan(size, demand, capacity // grain)
-    bins = int(used.sum())
     table = [(int(size[c]), a, b, k, f) for c, a, b, k, f in ranges(patterns, used)]
-    before, seen, full_seen = [], {}, 0
-    for r in histogram:
-        before.append((r["class"], r["bucket"], seen.get(r["class"], 0), bins + full_seen))
-        seen[r["class"]] = seen.get(r["class"], 0) + r["n"]
-        full_seen += r["full"]
-    starts = spark.createDataFrame(before, "class int, bucket int, rank0 long, bin0 long")
-    order = Window.partitionBy("class", "bucket").orderBy("doc_id", "tokens")
+    first, at = [], int(used.sum())
+    for r in by_size:
+        first.append((r["class"], at))
+        at += r["full"]
+    earlier = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = histogram.join(F.broadcast(spark.createDataFrame(first, "class int, first long")), "class").select(
+        "class",
+        "bucket",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank0"),
+        (F.col("first") + F.coalesce(F.sum("full").over(earlier), F.lit(0))).alias("bin0"),
+    )
+    order = Window.partitionBy("class", "bucket").orderBy("doc_id", "tokens", "tag")
     ranked = (
         placed.withColumn("rank", F.row_number().over(order) - 1)
         .withColumn("full_before", F.sum("full").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("full"))
