@@ -16,14 +16,15 @@ every pair; the rest of the bits is compared at the leaves with the whole budget
 is reported in the first chunk that admits it.  The search is exact: no caps, no sampling.
 
 Distribution: the top ``depth`` bits of the chunk name a subtree; each pair of subtrees
-whose prefixes differ in at most 3 bits is a task, and depth grows with the number of
-fingerprints so that a subtree stays small.  A task returns a spanning forest of the pairs
+whose prefixes differ in at most 3 bits is a task, and depth is chosen by counting, so that
+no subtree holds more than ``SUBTREE`` fingerprints.  A task returns a spanning forest of the pairs
 that it found, so its output is linear in its input, and connected components of the
 forests' union, found by rounds of large-star and small-star, give the groups.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
 from math import ceil, log2
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import text_kernel as K
-from spindrift.llm.common import written
+from spindrift.llm.common import remove, stored, written
 from spindrift.shipping import ship
 
 LONG = 4
@@ -41,6 +42,7 @@ AGREE = 0.4
 SLOTS = 64
 CHUNKS = ((0, 22), (22, 21), (43, 21))  # (first bit from the top, width)
 SUBTREE = 1 << 20
+PROBE = 12
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,8 +282,28 @@ def join_task(chunk: int, p: int, q: int, depth: int, side: np.ndarray, ids: np.
     return ids[moved], top[moved]
 
 
-def subtree_depth(n: int) -> int:
-    return min(16, max(3, ceil(log2(max(1, n) / SUBTREE))))
+def _top(chunk: int, bits: int):
+    """The top bits of a chunk, as a column."""
+    first, _ = _widths(chunk)
+    turned = F.col("fp") if not first else F.shiftleft("fp", first).bitwiseOR(F.shiftrightunsigned("fp", 64 - first))
+    return F.shiftrightunsigned(turned, 64 - bits).cast("int")
+
+
+def subtree_depth(nodes: DataFrame) -> int:
+    """Top bits that leave at most ``SUBTREE`` fingerprints in every subtree of every chunk.
+
+    Subtrees are counted down to ``PROBE`` bits, a table of 3 x 2^PROBE rows at most, and
+    taken to halve below; no deeper than the narrowest chunk."""
+    tops = F.array(*[F.struct(F.lit(c).alias("c"), _top(c, PROBE).alias("top")) for c in range(len(CHUNKS))])
+    rows = nodes.select(F.explode(tops).alias("t")).groupBy("t.c", "t.top").count().collect()
+    size = np.zeros((len(CHUNKS), 1 << PROBE), np.int64)
+    for r in rows:
+        size[r["c"], r["top"]] = r["count"]
+    for depth in range(3, PROBE + 1):
+        largest = int(size.reshape(len(CHUNKS), 1 << depth, -1).sum(axis=2).max())
+        if largest <= SUBTREE:
+            return depth
+    return min(min(w for _, w in CHUNKS), PROBE + ceil(log2(largest / SUBTREE)))
 
 
 def _task_of(chunk: int, own):
@@ -294,16 +316,14 @@ def _task_of(chunk: int, own):
     return task
 
 
-def near_edges(nodes: DataFrame, n: int, *, bits: int = BITS, agree: float = AGREE) -> DataFrame:
+def near_edges(nodes: DataFrame, *, bits: int = BITS, agree: float = AGREE) -> DataFrame:
     """Edges (a, b), b < a, that connect the near copies among ``nodes`` (id, fp, sketch)."""
-    depth, budget = subtree_depth(n), _budget(bits)
-    masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
+    depth, budget = subtree_depth(nodes), _budget(bits)
+    masks = [sum(1 << b for b in bits_) for k in range(budget + 1) for bits_ in combinations(range(depth), k)]
     flips = F.array(*[F.lit(m) for m in masks])
     tasks = []
-    for c, (first, _) in enumerate(CHUNKS):
-        turned = F.col("fp") if not first else F.shiftleft("fp", first).bitwiseOR(F.shiftrightunsigned("fp", 64 - first))
-        own = F.shiftrightunsigned(turned, 64 - depth).cast("int")
-        tasks.append(F.transform(flips, _task_of(c, own)))
+    for c in range(len(CHUNKS)):
+        tasks.append(F.transform(flips, _task_of(c, _top(c, depth))))
     spread = nodes.select("id", "fp", "sketch", F.explode(F.concat(*tasks)).alias("t")).select("t.c", "t.p", "t.q", "t.side", "id", "fp", "sketch")
 
     def run(key, tab):
@@ -325,7 +345,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until the edges are stars; each round is written
     to the shared folder.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges, at = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while state[0]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -333,7 +353,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(down.select("a", F.col("m").alias("b")))
-        edges = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        old = at
+        edges, at = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        remove(edges.sparkSession, old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -349,12 +371,12 @@ def near_duplicates(docs: DataFrame, *, bits: int = BITS, agree: float = AGREE)
 
     Documents with null or empty text, or without words, are never copies of anything, nor
     are rows without doc_id.  Rows that repeat a doc_id belong to one document, which is
-    compared by each of its rows.  Other columns are not looked at.  An empty table gives
-    an empty result.
+    compared by each of its rows.  Texts of any length are compared whole.  Other columns
+    are not looked at.  An empty table gives an empty result.
     """
     prints = written(fingerprint_table(docs), "prints")
     same = prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("id"))
     nodes = written(same, "nodes")
     copies = prints.join(nodes, ["fp", "sketch"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    near = near_edges(nodes.select("id", "fp", "sketch"), nodes.count(), bits=bits, agree=agree)
+    near = near_edges(nodes.select("id", "fp", "sketch"), bits=bits, agree=agree)
     return components(near.unionAll(copies)).select(F.col("id").alias("doc_id"), F.col("root").alias("keep_id"))
