@@ -8,10 +8,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import metrics as M
+from spindrift.functions.prefix import with_ranges
 from spindrift.models.cv import group_folds
 from spindrift.models.survival import long_form, normal_p
 from spindrift.operators.columns import impute_median, numeric_columns
@@ -77,35 +79,34 @@ def logit_scan(df: DataFrame, outcome: str, features: Iterable[str] | None = Non
 def bootstrap_auc(df: DataFrame, n_boot: int = 2000, seed: int = 42, tasks: int = 8) -> DataFrame:
     """(auc, ci_lo, ci_hi, n_boot): percentile interval of the AUC of y and p.
 
-    Replicates draw Poisson(1) weights for distinct (y, p) groups, so only the table of
-    distinct scores is needed; it is broadcast and must fit a task.  Replicates are spread
-    over tasks, each with its own seed; replicates with one class are skipped.
+    Replicates draw Poisson(1) weights.  Scores are cut into ``tasks`` ranges; the task of a
+    range gives, for each replicate, its positives, its negatives and the area between
+    them, and the ranges of a replicate are put together in order.  Nothing is collected;
+    replicates with one class are skipped.
     """
-    spark = ship(df.sparkSession)
-    g = M._clean(df).groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).orderBy("p").toPandas()
-    pos, neg = g["pos"].to_numpy(float), (g["n"] - g["pos"]).to_numpy(float)
-    shared = spark.sparkContext.broadcast((pos, neg))
-
-    def area(a, b):
-        below = np.cumsum(b) - b
-        return ((below + b / 2) * a).sum() / (a.sum() * b.sum()) if a.sum() and b.sum() else None
-
-    def run(batches):
-        a, b = shared.value
-        for batch in batches:
-            out = []
-            for k in batch["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                v = area(rng.poisson(a).astype(float), rng.poisson(b).astype(float))
-                if v is not None:
-                    out.append(v)
-            yield pd.DataFrame({"v": out})
-
-    reps = spark.range(0, n_boot, 1, tasks).mapInPandas(run, "v double")
-    value = area(pos, neg)
-    return reps.agg(F.expr("percentile(v, array(0.025, 0.975))").alias("q"), F.count("*").alias("n_boot")).select(
-        F.lit(value).cast("double").alias("auc"), F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "n_boot"
-    )
+    ship(df.sparkSession)
+    g = M._clean(df).groupBy("p").agg(F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg"))
+
+    def run(key, tab):
+        tab = tab.sort_by("p")
+        pos, neg = tab["pos"].to_numpy(), tab["neg"].to_numpy()
+        out = []
+        for k in range(-1, n_boot):  # -1: the rows themselves
+            rng = np.random.default_rng([seed, k + 1, int(key[0].as_py())])
+            a, b = (pos, neg) if k < 0 else (rng.poisson(pos).astype(float), rng.poisson(neg).astype(float))
+            out.append((k, int(key[0].as_py()), float(((np.cumsum(b) - b / 2) * a).sum()), float(a.sum()), float(b.sum())))
+        return pa.table(dict(zip(("k", "part", "area", "pos", "neg"), map(pa.array, zip(*out)))))
+
+    cut = with_ranges(g, "p", "part", tasks)
+    sums = cut.groupBy("part").applyInArrow(run, "k long, part long, area double, pos double, neg double")
+    # a range's positives also beat the negatives of the ranges before
+    start = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"))
+    add = lambda s, x: F.struct((s["area"] + x["area"] + x["pos"] * s["neg"]).alias("area"), (s["pos"] + x["pos"]).alias("pos"), (s["neg"] + x["neg"]).alias("neg"))
+    each = sums.groupBy("k").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("part", "area", "pos", "neg"))), start, add).alias("s"))
+    v = each.select("k", F.try_divide("s.area", F.col("s.pos") * F.col("s.neg")).alias("v"))
+    boot = F.when(F.col("k") >= 0, F.col("v"))
+    q = v.agg(F.max(F.when(F.col("k") < 0, F.col("v"))).alias("auc"), F.percentile(boot, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(boot).alias("n_boot"))
+    return q.select("auc", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "n_boot")
 
 
 def registry(seed: int = 42) -> dict:

@@ -6,29 +6,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKETS = 256
+
+
+def _group_hash(df: DataFrame, group: str, seed: int):
+    """Hash of the row's group; of the row itself where it has none, so that it stays the
+    same when a partition is computed again."""
+    whole = [c for c in df.columns if "map" not in df.schema[c].dataType.simpleString() and df.schema[c].dataType.typeName() != "variant"]
+    own = F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in whole])
+    if group not in df.columns:
+        return own
+    return F.when(F.col(group).isNull(), own).otherwise(F.xxhash64(F.lit(seed), F.col(group).cast("string")))
+
+
 def group_folds(df: DataFrame, group: str, folds: int, *, label: str | None = None, seed: int = 42) -> DataFrame:
     """``df`` with ``fold`` in 0..folds-1: all rows of a group in one fold, groups spread by
-    a seeded hash, and, with ``label``, spread within each label's groups.
+    a seeded hash, and, with ``label``, dealt out evenly within each label's groups.
 
-    Rows without a group are groups of their own.  No order of the whole table is needed.
+    Rows without a group are groups of their own; equal ones of those share a fold.  Groups
+    may be of any type.  Groups of a label are numbered within buckets of the hash, so no
+    task sees all of them.
     """
-    g = F.coalesce(F.col(group).cast("string"), F.uuid()) if group in df.columns else F.uuid()
-    d = df.withColumn("__g", F.xxhash64(F.lit(seed), g)) if group not in df.columns else df.withColumn("__g", F.xxhash64(F.lit(seed), F.col(group).cast("string")))
+    d = df.withColumn("__g", _group_hash(df, group, seed))
     if label is None:
         return d.withColumn("fold", F.pmod("__g", F.lit(folds)).cast("int")).drop("__g")
-    per = d.groupBy("__g").agg(F.max(label).alias("__l"))
-    w = Window.partitionBy("__l").orderBy("__g")
-    ranked = per.withColumn("fold", F.pmod(F.row_number().over(w) + F.hash("__l"), F.lit(folds)).cast("int"))
-    return d.join(ranked.select("__g", "fold"), "__g").drop("__g")
+    per = d.groupBy("__g").agg(F.max(label).alias("__l")).withColumn("__b", F.pmod(F.xxhash64("__g"), F.lit(BUCKETS)))
+    earlier = Window.partitionBy("__l").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = per.groupBy("__l", "__b").agg(F.count("*").alias("__n")).select(F.col("__l").alias("__cl"), F.col("__b").alias("__cb"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"))
+    inside = Window.partitionBy("__l", "__b").orderBy("__g")
+    ranked = per.withColumn("__k", F.row_number().over(inside)).join(counts, (F.col("__b") == F.col("__cb")) & F.col("__l").eqNullSafe(F.col("__cl"))).select("__g", (F.col("__k") + F.col("__n")).alias("__k"), F.hash("__l").alias("__h"))
+    return d.join(ranked.select("__g", F.pmod(F.col("__k") + F.col("__h"), F.lit(folds)).cast("int").alias("fold")), "__g").drop("__g")
 
 
 def ranked_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """``fold`` by the dense rank of the group, for results that others must reproduce."""
-    from spindrift.functions.prefix import running_totals
+    """``fold`` by the dense rank of the group, of any type that has an order, for results
+    that others must reproduce.  Rows without a group get no fold."""
+    from spindrift.functions.prefix import dense_ranks
 
-    groups = df.select(F.col(group).cast("double").alias("k")).distinct().withColumn("one", F.lit(1))
-    ranks = running_totals(groups, "k", {"rank": "one"})
-    return df.join(ranks, df[group].cast("double") == ranks["k"]).withColumn("fold", F.col("rank") % folds).drop("k", "one", "rank")
+    ranks = dense_ranks(df, group).withColumnRenamed(group, "__k")
+    return df.join(ranks, df[group] == ranks["__k"], "left").withColumn("fold", F.col("rank") % folds).drop("__k", "rank")
 
 
 def leaks(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
