@@ -9,10 +9,14 @@ the partition.
 At scale this runs in levels with the same rule.  Groups are hashed to buckets of about
 ``BUCKET_GROUPS`` groups; a task differences one bucket to a single partial partition and
 remembers the slot of each group.  ``FAN`` buckets' partial partitions at a time are
-differenced by the next level's tasks, and so on until one is left; then each level, from
-the top, tells the one below which shard its slots become.  Nothing is collected on the
-driver.  Combining partial partitions is what the method does anyway, so the levels lose
-nothing but the order of some combinations.
+differenced by the next level's tasks, and so on until one task is left; then each level,
+from the top, tells the one below which shard its slots become.  Nothing is collected on
+the driver.
+
+A bucket with a group larger than its share of a shard can't be even, and even buckets can't
+make up for it.  So the groups of one bucket stay single until the last task, where
+differencing takes them last, as the smallest, and they fill what the others left open.  A
+table of one bucket is differenced group by group.
 """
 
 from __future__ import annotations
@@ -145,30 +149,29 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, bucket_groups: int = BUCKE
 
     def bucket(key, tab):
         tab = tab.sort_by([("size", "descending"), ("group", "ascending")])
-        sums, slot = one_group_each(tab["size"].to_numpy(), shards)
-        n = tab.num_rows
-        return pa.table(
-            {
-                "bucket": pa.array(np.full(n, key[0].as_py(), np.int64)),
-                "group": tab["group"],
-                "slot": pa.array(slot.astype(np.int32)),
-                "sums": pa.array([sums.tolist()] + [None] * (n - 1), pa.list_(pa.int64())),
-            }
-        )
+        n, number, size = tab.num_rows, key[0].as_py(), tab["size"].to_numpy()
+        if number == 0:  # stay single: each a bucket of its own, numbered below 0
+            numbers, slot = -1 - np.arange(n), np.zeros(n, np.int32)
+            sums = [[int(x)] + [0] * (shards - 1) for x in size]
+        else:
+            total, slot = one_group_each(size, shards)
+            numbers, sums = np.full(n, number), [total.tolist()] + [None] * (n - 1)
+        return pa.table({"bucket": pa.array(numbers, pa.int64()), "group": tab["group"], "slot": pa.array(slot.astype(np.int32)), "sums": pa.array(sums, pa.list_(pa.int64()))})
 
     split = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)))
     slots = written(split.groupBy("bucket").applyInArrow(bucket, "bucket long, group long, slot int, sums array<long>"), "slots")
-    names = shard_names(slots.where("sums is not null").select("bucket", "sums"), buckets, fan)
+    parts = slots.where("sums is not null").select("bucket", "sums")
+    names = shard_names(parts.where("bucket > 0"), parts.where("bucket < 0"), buckets, fan)
     where = slots.join(names, "bucket").select("group", F.element_at("shards", F.col("slot") + 1).alias("shard"))
     return rows.join(where, "group").select("doc_id", "group", "n_bytes", "shard")
 
 
-def shard_names(parts: DataFrame, buckets: int, fan: int = FAN) -> DataFrame:
+def shard_names(parts: DataFrame, single: DataFrame, buckets: int, fan: int = FAN) -> DataFrame:
     """(bucket, shards): for partial partitions (bucket, sums), numbered below ``buckets``,
-    the shard that each slot becomes."""
+    and those that wait for the last task, the shard that each slot becomes."""
 
     def combine(key, tab):
-        tab = tab.sort_by("bucket")
+        tab = tab.sort_by([("bucket", "descending")])
         sums, final = differencing(np.array(tab["sums"].to_pylist(), np.int64))
         n = tab.num_rows
         return pa.table(
@@ -180,11 +183,13 @@ def shard_names(parts: DataFrame, buckets: int, fan: int = FAN) -> DataFrame:
             }
         )
 
-    upper = parts.withColumn("upper", F.floor(F.col("bucket") / fan).cast("long"))
+    last = buckets <= fan
+    upper = parts.unionAll(single).withColumn("upper", F.lit(0).cast("long")) if last else parts.withColumn("upper", F.floor(F.col("bucket") / fan).cast("long"))
     level = upper.groupBy("upper").applyInArrow(combine, "bucket long, upper long, shards array<int>, sums array<long>")
-    if buckets <= fan:
+    if last:
         return level.select("bucket", "shards")
     level = written(level, "level")
-    above = shard_names(level.where("sums is not null").select(F.col("upper").alias("bucket"), "sums"), -(-buckets // fan), fan)
-    above = above.select(F.col("bucket").alias("upper"), F.col("shards").alias("renamed"))
-    return level.join(above, "upper").select("bucket", F.transform("shards", lambda s: F.element_at("renamed", s + 1)).alias("shards"))
+    above = written(shard_names(level.where("sums is not null").select(F.col("upper").alias("bucket"), "sums"), single, -(-buckets // fan), fan), "above")
+    renamed = above.where("bucket >= 0").select(F.col("bucket").alias("upper"), F.col("shards").alias("renamed"))
+    below = level.join(renamed, "upper").select("bucket", F.transform("shards", lambda s: F.element_at("renamed", s + 1)).alias("shards"))
+    return below.unionAll(above.where("bucket < 0").select("bucket", "shards"))
