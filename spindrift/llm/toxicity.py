@@ -49,10 +49,23 @@ RATE = 0.1
 DECAY = 1e-4
 LEAST = 5
 GRAMS = (3, 4, 5)
+# how much is worked on at a time, which bounds memory and changes nothing
+SOME_WORDS, SOME_WINDOWS, SOME_RANGES = 1 << 14, 1 << 14, 1 << 11
 
 
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed members of words given as byte spans, grouped by word, and the offsets."""
+    """Hashed members of words given as byte spans, grouped by word, and the offsets; some
+    words at a time."""
+    members, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for a in range(0, len(starts), SOME_WORDS):
+        part = slice(a, a + SOME_WORDS)
+        got, offs = _subwords(data, starts[part], ends[part], hashes[part])
+        members.append(got)
+        counts.append(np.diff(offs))
+    return np.concatenate(members), np.cumsum(np.concatenate(counts))
+
+
+def _subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(starts)
     size = ends - starts + 2
     base = np.zeros(n + 1, np.int64)
@@ -102,10 +115,13 @@ class Model:
         weight = np.diff(offs).astype(np.float64)
         value = np.add.reduceat(self.scores[members], offs[:-1], dtype=np.float64)
         lo, hi, at = word_windows(rows)
-        word, begin = new_words(lo, hi, previous(place, rows))
-        total = np.add.reduceat(value[place[word]], begin)
-        count = np.add.reduceat(weight[place[word]], begin)
-        return total / np.maximum(count, FLOOR) + self.bias, lo, hi, at
+        before, out = previous(place, rows), np.empty(len(lo))
+        for a in range(0, len(lo), SOME_WINDOWS):
+            part = slice(a, a + SOME_WINDOWS)
+            word, begin = new_words(lo[part], hi[part], before)
+            word = place[word]
+            out[part] = np.add.reduceat(value[word], begin) / np.maximum(np.add.reduceat(weight[word], begin), FLOOR)
+        return out + self.bias, lo, hi, at
 
     def worst(self, members, offs, place, rows):
         """Word range of each row's worst window; an empty range where there are no words."""
@@ -165,21 +181,27 @@ def new_words(lo: np.ndarray, hi: np.ndarray, before: np.ndarray) -> tuple[np.nd
 def _bags(lo: np.ndarray, hi: np.ndarray, place: np.ndarray, before: np.ndarray, members: np.ndarray, offs: np.ndarray, known: np.ndarray):
     """Averages as sparse rows: for word ranges [lo, hi), none empty, the known members'
     columns, their shares of all members of the range, the offsets of the ranges, and each
-    entry's range."""
-    word, begin = new_words(lo, hi, before)
-    bag = np.repeat(np.arange(len(lo)), np.diff(np.append(begin, len(word))))
-    word = place[word]
-    size = np.diff(offs)[word]
-    total = np.bincount(bag, size, len(lo))
-    column = known[members[np.repeat(offs[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())]]
-    bag = np.repeat(bag, size)
-    bag, column = bag[column >= 0], column[column >= 0]
+    entry's range; some ranges at a time."""
+    columns, shares, bags = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [np.zeros(0, np.int32)]
     width = int(known.max()) + 2
-    key = np.sort(bag * width + column)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    times = np.diff(np.append(first, len(key)))
-    bag, column = (key[first] // width).astype(np.int32), (key[first] % width).astype(np.int32)
-    return column, (times / np.maximum(total, FLOOR)[bag]).astype(np.float32)[:, None], np.searchsorted(bag, np.arange(len(lo) + 1)), bag
+    for a in range(0, len(lo), SOME_RANGES):
+        part = slice(a, a + SOME_RANGES)
+        word, begin = new_words(lo[part], hi[part], before)
+        bag = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(word))))
+        word = place[word]
+        size = np.diff(offs)[word]
+        total = np.bincount(bag, size, len(begin))
+        column = known[members[np.repeat(offs[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())]]
+        bag = np.repeat(bag, size)
+        key = np.sort((bag * width + column)[column >= 0])
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(key)))
+        bag = key[first] // width
+        columns.append((key[first] % width).astype(np.int32))
+        shares.append((times / np.maximum(total, FLOOR)[bag]).astype(np.float32))
+        bags.append((bag + a).astype(np.int32))
+    bag = np.concatenate(bags)
+    return np.concatenate(columns), np.concatenate(shares)[:, None], np.searchsorted(bag, np.arange(len(lo) + 1)), bag
 
 
 def _gathered_sums(table: np.ndarray, index: np.ndarray, share: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -197,7 +219,7 @@ def _fit(bags, y: np.ndarray, params, epochs: int) -> None:
     """Adam over all bags; embeddings, outputs and bias change in place."""
     column, share, at, bag = bags
     E, W, b = params
-    by_column = np.argsort(column, kind="stable")
+    by_column = np.argsort(column, kind="stable").astype(np.int32)
     column_at = np.searchsorted(column[by_column], np.arange(len(E) + 1))
     bag, share_of = bag[by_column], share[by_column]
     del by_column
