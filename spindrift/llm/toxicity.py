@@ -18,7 +18,7 @@ members of its distinct words, and over ``FLOOR`` members at least, so that a te
 words needs stronger evidence than a sentence.
 
 The model is cross-fitted: the sample is cut into ``FOLDS`` parts, each fit leaves one out,
-and the folds' fits, tasks of their own, are averaged, which is one linear model again.  The
+and the folds' fits, made by ``FIT_TASKS`` tasks, are averaged, which is one linear model again.  The
 threshold is the middle of the widest range of scores that does best on documents scored by
 the fit that didn't see them.
 
@@ -43,6 +43,7 @@ WINDOW = 16
 EPOCHS = 12
 FIRST = 16_000
 FOLDS = 4
+FIT_TASKS = 2  # so that an executor need not hold two fits at once
 ROUNDS = 8
 FLOOR = 96
 RATE = 0.1
@@ -363,23 +364,19 @@ def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -
     sample = texts.join(chosen, "doc_id")
     ship(spark)
 
-    def fit(key, tab):
+    def fit(key, tab):  # a task's folds, one after the other
         tab = tab.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        fold, toxic, k = tab["fold"].to_numpy(), tab["toxic"].to_numpy(), key[0].as_py()
-        m, score = fold_fit(K.one_array(tab["text"]), toxic, fold, k)
-        return pa.table(
-            {
-                "k": pa.array([k], pa.int32()),
-                "scores": pa.array([m and m.scores.tobytes()], pa.binary()),
-                "bias": pa.array([m and m.bias], pa.float64()),
-                "held": pa.array([score.tolist()], pa.list_(pa.float64())),
-                "toxic": pa.array([toxic[fold == k].tolist()], pa.list_(pa.int32())),
-            }
-        )
+        fold, toxic, texts = tab["fold"].to_numpy(), tab["toxic"].to_numpy(), K.one_array(tab["text"])
+        out = []
+        for k in range(key[0].as_py(), FOLDS, FIT_TASKS):
+            m, score = fold_fit(texts, toxic, fold, k)
+            out.append((k, m and m.scores.tobytes(), m and m.bias, score.tolist(), toxic[fold == k].tolist()))
+        kinds = {"k": pa.int32(), "scores": pa.binary(), "bias": pa.float64(), "held": pa.list_(pa.float64()), "toxic": pa.list_(pa.int32())}
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), zip(*out))})
 
     got = (
-        sample.withColumn("k", F.explode(F.array(*map(F.lit, range(FOLDS)))))
-        .groupBy("k")
+        sample.withColumn("task", F.explode(F.array(*map(F.lit, range(FIT_TASKS)))))
+        .groupBy("task")
         .applyInArrow(fit, "k int, scores binary, bias double, held array<double>, toxic array<int>")
         .where("scores is not null")
         .collect()
