@@ -1,4 +1,8 @@
-"""Small helpers shared by the corpus operators."""
+"""Small helpers shared by the corpus operators.
+
+Document ids are whole numbers: operators cast ``doc_id`` to long, and ids that aren't
+numbers raise an error.  Number such documents first.
+"""
 
 from __future__ import annotations
 

@@ -153,7 +153,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, t
     consist of exactly its words, and isn't searched inside others.
 
     Null or empty texts, and texts without words, contain nothing and are contained in
-    nothing.  A row without doc_id is reported with a null doc_id.  Repeated document rows
+    nothing.  Texts of any length are searched whole.  An item at exactly the threshold is
+    contained.  A row without doc_id is reported with a null doc_id.  Repeated document rows
     are reported each; repeated (item_id, text) rows count once.  Other columns are not
     looked at.  Empty tables give an empty result.
     """
@@ -188,7 +189,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, t
 def without_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, with all their columns.
 
-    Rows are judged one by one, whatever their ids; rows with null or empty text stay.
+    Rows are judged one by one as by ``contaminated``, whatever their ids; rows with null or
+    empty text stay, and repeated rows stay or go together.  Without documents the result is
+    empty, without items it is ``docs``.
     """
     at = docs.columns.index("text")
     for index in item_blocks(items, size=shingle, threshold=threshold):

@@ -325,9 +325,10 @@ def trained(pages: DataFrame, *, sample: int = SAMPLE) -> np.ndarray:
 def extracted(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """(page_id, text, n_blocks, n_content): every page's content blocks, one a line.
 
-    A null or empty page has empty text and no blocks.  Rows without page_id are kept,
-    repeated rows are done each.  Other columns are not looked at.  An empty table gives an
-    empty result.
+    A null or empty page has empty text and no blocks.  Pages of any length are cut whole.
+    Blocks with equal costs on both sides of the cut count as boilerplate.  Rows without
+    page_id are kept, repeated rows are done each.  Other columns are not looked at.  An
+    empty table gives an empty result.
     """
     ship(pages.sparkSession)
     w = trained(pages) if weights is None else weights
