@@ -17,13 +17,19 @@ from spindrift.llm.common import table, written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; the others stay as they are.
 
-    The model is fitted on labelled rows of ``docs``.  Null and empty texts stay.
+    The model is fitted on labelled rows of ``docs``.  Null and empty texts and rows without
+    doc_id are judged like any other, so null and empty texts stay; repeated rows stay or go
+    together.  Without documents, or without labels of both classes, nothing goes.
     """
     return toxicity.without_toxic(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document or line has go, and documents that only had such."""
+    """Lines that an earlier document or line has go, and documents that only had such.
+
+    Null and empty texts and rows without doc_id stay as they are; repeated rows lose the
+    same lines.
+    """
     return line_dedup.cleaned(docs)
 
 
@@ -38,12 +44,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of the benchmark go."""
+    """Documents that contain an item of the benchmark go.
+
+    Null and empty texts stay; rows without doc_id and repeated rows are judged each.
+    """
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every token of every document goes: (doc_id, piece, start, length, bin)."""
+    """Where every token of every document goes: (doc_id, piece, start, length, bin).
+
+    Null and empty texts have no row; rows without doc_id and repeated rows are packed each;
+    an empty table gives no row.
+    """
     return packing.packed(docs)
 
 
