@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import gzip
 import re
 import zlib
@@ -167,3 +168,24 @@ def flatten_dicom_json(c, keywords: dict[str, str]):
     named = F.map_filter(F.transform_values(parsed, lambda k, v: F.get(v["Value"], F.lit(0))), lambda k, v: k.isin(list(keywords)))
     names = F.create_map(*[F.lit(x) for kv in keywords.items() for x in kv])
     return F.transform_keys(named, lambda k, v: F.element_at(names, k))
+
+
+def column_names(spark: SparkSession, path: str) -> list[str]:
+    """Columns of a CSV or Parquet file, from its first line or its footer alone."""
+    if path.lower().endswith((".parquet", ".pq")):
+        return spark.read.parquet(path).columns
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+
+
+def read_pairs(spark: SparkSession, path: str) -> list[dict]:
+    """A list of {name, minuend, subtrahend}, from JSON or YAML, for ``longitudinal``."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if path.lower().endswith((".yaml", ".yml")):
+        import yaml
+
+        data = yaml.safe_load(text)
+    else:
+        data = json.loads(text)
+    if not isinstance(data, list):
+        raise ValueError(f"{path} isn't a list of pairs")
+    return [{k: d[k] for k in ("name", "minuend", "subtrahend")} for d in data]
