@@ -14,9 +14,9 @@ from the top, tells the one below which shard its slots become.  Nothing is coll
 the driver.
 
 A bucket with a group larger than its share of a shard can't be even, and even buckets can't
-make up for it.  So the groups of one bucket stay single until the last task, where
-differencing takes them last, as the smallest, and they fill what the others left open.  A
-table of one bucket is differenced group by group.
+make up for it.  So the groups of ``SINGLE_BUCKETS`` buckets stay single until the last
+task, where differencing takes them last, as the smallest, and they fill what the others
+left open.  A table of no more buckets is differenced group by group.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from spindrift.shipping import ship
 SHARDS = 64
 BUCKET_GROUPS = 20_000
 FAN = 4096
+SINGLE_BUCKETS = 4
 
 
 def differencing(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +151,8 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, bucket_groups: int = BUCKE
     def bucket(key, tab):
         tab = tab.sort_by([("size", "descending"), ("group", "ascending")])
         n, number, size = tab.num_rows, key[0].as_py(), tab["size"].to_numpy()
-        if number == 0:  # stay single: each a bucket of its own, numbered below 0
-            numbers, slot = -1 - np.arange(n), np.zeros(n, np.int32)
+        if number < SINGLE_BUCKETS:  # stay single: each a bucket of its own, numbered below 0
+            numbers, slot = -1 - (np.arange(n) * SINGLE_BUCKETS + number), np.zeros(n, np.int32)
             sums = [[int(x)] + [0] * (shards - 1) for x in size]
         else:
             total, slot = one_group_each(size, shards)
