@@ -23,67 +23,87 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def cox(x: np.ndarray, time: np.ndarray, event: np.ndarray, penalizer: float = 0.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coefficients, covariance, log likelihood) with Efron's handling of ties.
+BLOCK = 1 << 16
+
+
+def cox(x: np.ndarray, time: np.ndarray, event: np.ndarray, penalizer: float = 0.0, steps: int = 50, ties: str = "efron") -> tuple[np.ndarray, np.ndarray, float]:
+    """(coefficients, covariance, log likelihood) with Efron's or Breslow's handling of ties.
 
     Columns are standardised while solving; ``penalizer`` is half a ridge on the
     standardised coefficients for each row.  Raises ArithmeticError where it doesn't
-    converge.
+    converge.  A step costs one pass over the rows, in blocks of about ``BLOCK`` rows of
+    whole times.
     """
+    if ties not in ("efron", "breslow"):
+        raise ValueError(f"ties: {ties}")
     x = np.asarray(x, float).reshape(len(time), -1)
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 0, scale, 1.0)
-    z = (x - mean) / scale
     order = np.argsort(-np.asarray(time, float), kind="stable")
-    z, t, e = z[order], np.asarray(time, float)[order], np.asarray(event, float)[order]
+    z, t, e = (x[order] - mean) / scale, np.asarray(time, float)[order], np.asarray(event, float)[order] == 1
     n, k = z.shape
     b = np.zeros(k)
     ridge = penalizer * n
 
+    # rows are from the latest time on: those at risk at a time are all up to its last row
+    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    last = np.append(first[1:], n) - 1
+    of = np.repeat(np.arange(len(first)), last - first + 1)
+    died = np.flatnonzero(e)
+    at = of[died]
+    m = np.bincount(at, minlength=len(first))
+    turn = np.arange(len(died)) - (np.cumsum(m) - m)[at]
+    share = turn / m[at] if ties == "efron" else np.zeros(len(died))
+    tied = share.any()
+    cuts = np.unique(np.append(first[np.searchsorted(first, np.arange(0, first[-1] + 1, BLOCK))], n))
+
+    def total(v):
+        return np.bincount(at, v, len(first))
+
     def pieces(b):
         w = np.exp(np.clip(z @ b, -500, 500))
-        s0, s1 = np.cumsum(w), np.cumsum(w[:, None] * z, axis=0)
-        s2 = np.cumsum(w[:, None, None] * z[:, :, None] * z[:, None, :], axis=0)
-        ll, g, h = 0.0, np.zeros(k), np.zeros((k, k))
-        i = 0
-        while i < n:
-            j = i
-            while j < n and t[j] == t[i]:
-                j += 1
-            d = np.flatnonzero(e[i:j] == 1) + i
-            if len(d):
-                m = len(d)
-                wd = w[d]
-                d0, d1 = wd.sum(), wd @ z[d]
-                d2 = (wd[:, None, None] * z[d][:, :, None] * z[d][:, None, :]).sum(axis=0)
-                share = np.arange(m) / m
-                r0 = s0[j - 1] - share * d0
-                r1 = s1[j - 1] - share[:, None] * d1
-                r2 = s2[j - 1] - share[:, None, None] * d2
-                u = r1 / r0[:, None]
-                ll += (z[d] @ b).sum() - np.log(r0).sum()
-                g += z[d].sum(axis=0) - u.sum(axis=0)
-                h += (r2 / r0[:, None, None] - u[:, :, None] * u[:, None, :]).sum(axis=0)
-            i = j
+        r0 = np.cumsum(w)[last][at]
+        if tied:
+            r0 = r0 - share * total(w[died])[at]
+        # expected events of each row: its weight over those at risk, at each event it lives to see
+        due = w * np.cumsum(total(1 / r0)[::-1])[::-1][of]
+        if tied:
+            due[died] -= w[died] * total(share / r0)[at]
+        ll, g, h = (z[died] @ b).sum() - np.log(r0).sum(), z.T @ (e - due), np.zeros((k, k))
+        before = np.zeros(k)
+        for lo, hi in zip(cuts, cuts[1:]):
+            d = slice(*np.searchsorted(died, (lo, hi)))
+            wz = w[lo:hi, None] * z[lo:hi]
+            s1 = before + np.cumsum(wz, axis=0)
+            u = s1[last[at[d]] - lo]
+            if tied and len(u):
+                own = np.add.reduceat(wz[died[d] - lo], np.flatnonzero(turn[d] == 0), axis=0)
+                u -= share[d, None] * np.repeat(own, m[np.unique(at[d])], axis=0)
+            u /= r0[d, None]
+            h += (z[lo:hi] * due[lo:hi, None]).T @ z[lo:hi] - u.T @ u
+            before = s1[-1]
         return ll - 0.5 * ridge * b @ b, g - ridge * b, h + ridge * np.eye(k)
 
     ll, g, h = pieces(b)
+    still = False
     for _ in range(steps):
         step = np.linalg.solve(h, g)
         size = 1.0
         while True:
             new = pieces(b + size * step)
-            if np.isfinite(new[0]) and new[0] >= ll - 1e-10:
+            # a sum over many rows is only so exact
+            if np.isfinite(new[0]) and new[0] >= ll - 1e-11 * (1 + abs(ll)):
                 break
             size /= 2
             if size < 1e-6:
                 raise ArithmeticError("no ascent")
         b = b + size * step
-        done = abs(new[0] - ll) < 1e-10 * (1 + abs(ll))
+        was, still = still, abs(new[0] - ll) < 1e-10 * (1 + abs(ll))
         ll, g, h = new
         if np.abs(b).max() > 60:
             raise ArithmeticError("diverges")
-        if done and np.abs(g).max() < 1e-5 * (1 + n):
+        # with many rows the likelihood stands still some digits too early; the step after that squares the error
+        if was and still and np.abs(g).max() < 1e-5 * (1 + n):
             return b / scale, np.linalg.inv(h) / np.outer(scale, scale), ll
     raise ArithmeticError("no convergence")
 
@@ -97,12 +117,13 @@ def long_form(df: DataFrame, features: Iterable[str], keep: Iterable[str]) -> Da
 SCAN = "feature string, coef double, hr double, hr_ci_low double, hr_ci_high double, p double"
 
 
-def cox_scan(df: DataFrame, time: str = "OS_months", event: str = "OS_event", features: Iterable[str] | None = None, exclude: Iterable[str] = ("patient_id",)) -> DataFrame:
+def cox_scan(df: DataFrame, time: str = "OS_months", event: str = "OS_event", features: Iterable[str] | None = None, exclude: Iterable[str] = ("patient_id",), ties: str = "efron") -> DataFrame:
     """One Cox model for each feature: (feature, coef, hr, hr_ci_low, hr_ci_high, p).
 
     Rows that miss the feature, time or event don't count; features with fewer than 10
-    rows, without spread, or without a converging fit are left out.  One shuffle by
-    feature, one task call for each; order by p and feature to rank them.
+    rows, without spread, or without a converging fit are left out.  ``ties`` is "efron" or
+    "breslow".  One shuffle by feature, one task call for each; order by p and feature to
+    rank them.
     """
     ship(df.sparkSession)
     feats = list(features) if features is not None else numeric_columns(df, [time, event, *exclude])
@@ -112,7 +133,7 @@ def cox_scan(df: DataFrame, time: str = "OS_months", event: str = "OS_event", fe
         out = []
         if len(g) >= 10 and g["value"].std() > 0 and g[event].sum() > 0:
             try:
-                b, v, _ = cox(g[["value"]].to_numpy(), g[time].to_numpy(), g[event].to_numpy())
+                b, v, _ = cox(g[["value"]].to_numpy(), g[time].to_numpy(), g[event].to_numpy(), ties=ties)
                 se = math.sqrt(v[0, 0])
                 if se > 0 and math.isfinite(se):
                     out.append((key[0], b[0], math.exp(b[0]), math.exp(b[0] - Z95 * se), math.exp(b[0] + Z95 * se), normal_p(b[0] / se)))

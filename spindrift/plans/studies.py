@@ -278,7 +278,7 @@ def logit_scan_all(spark, d):
 
 
 def _newton_cox(steps: int = 9) -> str:
-    """The same for Cox models; times don't repeat."""
+    """The same for Cox models; equal times as Breslow does."""
     sql = "with x as (select i, cast(v as double) as v, vec_id % 4 <> 0 as e, vec_id * 7919 % 1000003 as t from (select vec_id, unnest(range(64)) as i, unnest(embedding) as v from embeddings) z), b0 as (select i, cast(0 as double) as b from x group by i)"
     for k in range(steps):
         sql += (
@@ -291,7 +291,7 @@ def _newton_cox(steps: int = 9) -> str:
 @query(_newton_cox())
 def cox_scan_all(spark, d):
     w = _wide(spark, d).withColumn("time", F.pmod(F.col("vec_id") * 7919, F.lit(1000003)).cast("double")).withColumn("event", (F.col("vec_id") % 4 != 0).cast("int")).drop("label")
-    return survival.cox_scan(w, "time", "event", exclude=["vec_id"]).select("feature", r("coef", 5).alias("coef"), r("hr", 5).alias("hr"))
+    return survival.cox_scan(w, "time", "event", exclude=["vec_id"], ties="breslow").select("feature", r("coef", 5).alias("coef"), r("hr", 5).alias("hr"))
 
 
 def _classes(spark, d, n=12):
