@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.functions.metrics import dominance
 from spindrift.functions.prefix import average_ranks, running_totals
 
 
@@ -234,36 +235,5 @@ def concordance_index(time, risk, event) -> float | None:
     time, risk, event = (np.asarray(a, float) for a in (time, risk, event))
     if len(time) < 3 or event.sum() < 2:
         return None
-    values, pos = np.unique(risk, return_inverse=True)
-    tree = np.zeros(len(values) + 1, np.int64)
-
-    def add(i):
-        i += 1
-        while i < len(tree):
-            tree[i] += 1
-            i += i & -i
-
-    def upto(i):
-        s = 0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    won = pairs = 0.0
-    order = np.argsort(-time, kind="stable")
-    k = held = 0
-    while k < len(order):
-        e = k
-        while e < len(order) and time[order[e]] == time[order[k]]:
-            e += 1
-        for i in order[k:e]:
-            if event[i] == 1:
-                less, same = upto(pos[i]), upto(pos[i] + 1) - upto(pos[i])
-                won += less + 0.5 * same
-                pairs += held
-        for i in order[k:e]:
-            add(pos[i])
-        held += e - k
-        k = e
-    return won / pairs if pairs else None
+    pairs, below, same = dominance(time, risk, event)
+    return (below + same / 2) / pairs if pairs else None
