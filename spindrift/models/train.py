@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from spindrift.functions import metrics as M
 from spindrift.functions import stats as S
 from spindrift.functions.summaries import by_method
 from spindrift.models.cv import fold_count, group_folds
-from spindrift.operators.columns import impute_median, numeric_columns, usable_columns
+from spindrift.operators.columns import columns_with_gaps, fill, impute_median, medians, numeric_columns, usable_columns
 
 
 def sanitize(df: DataFrame, features: Iterable[str], *, site: str | None = None, label: str | None = None, confounders: Iterable[str] = (), icc_threshold: float | None = None, key: str | None = "patient_id", residualize: bool = True) -> tuple[DataFrame, list[str]]:
@@ -69,7 +70,8 @@ def choose(df: DataFrame, features: Iterable[str], outcome: str, *, top: int = 5
     feats = usable_columns(df, features, 1e-12, complete=False)
     if not feats:
         return []
-    filled = impute_median(df, feats)
+    gaps = columns_with_gaps(df, feats)
+    filled = fill(df, medians(df, gaps))
     feats = S.prune_correlated(feats, S.correlations(filled, feats), threshold)
     if len(feats) <= top:
         return feats
@@ -109,6 +111,9 @@ class Classifier:
         return x.select(key, *each, F.col("__pred").cast("int").alias("pred_class"))
 
 
+PART = 100_000
+
+
 def train(df: DataFrame, outcome: str, *, features: Iterable[str] | None = None, group: str = "patient_id", folds: int = 5, top: int = 50, threshold: float = 0.95, seed: int = 42) -> tuple[Classifier, DataFrame]:
     """(model, out-of-fold predictions): features are chosen and scaled inside the folds, no
     group is on both sides, and the model itself is fitted on all rows.
@@ -122,8 +127,11 @@ def train(df: DataFrame, outcome: str, *, features: Iterable[str] | None = None,
     classes = sorted(r[0] for r in rows.select(outcome).distinct().collect())
     folds, _ = fold_count(rows, group, folds)
     oof, areas, chosen_n = None, [], []
-    if rows.count() >= 4 and len(classes) > 1:
-        cut = group_folds(rows, group, folds, label=outcome, seed=seed)
+    n = rows.count()
+    if n >= 4 and len(classes) > 1:
+        # every choice, fit and area reads them again, without what made them, in a few parts a core
+        parts = max(df.sparkSession.sparkContext.defaultParallelism, n // PART)
+        cut = group_folds(rows, group, folds, label=outcome, seed=seed).select(outcome, "fold", *feats).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
         for k in range(folds):
             tr, te = cut.where(F.col("fold") != k), cut.where(F.col("fold") == k)
             use = choose(tr, feats, outcome, top=top, threshold=threshold)
@@ -132,11 +140,12 @@ def train(df: DataFrame, outcome: str, *, features: Iterable[str] | None = None,
                 continue
             part = fitted_logistic(tr, use, outcome).transform(te)
             p = vector_to_array("__p")
-            part = part.select(F.lit(k).alias("fold"), F.col(outcome).alias("y"), *([p[1].alias("p")] if len(classes) <= 2 else [p.alias("p"), F.col("__pred").cast("int").alias("pred")]))
+            part = part.select(F.lit(k).alias("fold"), F.col(outcome).alias("y"), *([p[1].alias("p")] if len(classes) <= 2 else [p.alias("p"), F.col("__pred").cast("int").alias("pred")])).persist(StorageLevel.MEMORY_AND_DISK)
             area = (M.auc(part) if len(classes) <= 2 else M.macro_auc(part, classes[-1] + 1)).first()[0]
             if area is not None:
                 areas.append(area)
             oof = part if oof is None else oof.unionAll(part)
+        cut.unpersist()
     final = choose(rows, feats, outcome, top=top, threshold=threshold)
     info = {"cv_auc_mean": float(np.mean(areas)) if areas else None, "cv_auc_std": float(np.std(areas)) if areas else None, "cv_features_per_fold": chosen_n, "folds": folds if areas else 0}
     return Classifier(fitted_logistic(rows, final, outcome), final, classes, info), oof

@@ -66,6 +66,26 @@ def impute_median(df: DataFrame, columns: Iterable[str], statistics: DataFrame |
     return df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(F.col(c), F.col(f"__median_{c}")) for c in columns}).drop(*[f"__median_{c}" for c in columns])
 
 
+def columns_with_gaps(df: DataFrame, columns: Iterable[str]) -> list[str]:
+    """The columns that have NULLs, by one pass."""
+    columns = list(columns)
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first() if columns else {}
+    return [c for c in columns if gaps[c]]
+
+
+def medians(df: DataFrame, columns: Iterable[str]) -> dict[str, float]:
+    """Exact medians, taken now: ``fill`` with them is ``impute_median`` for tables that are
+    read many times, where that one would take the medians at each."""
+    columns = list(columns)
+    row = df.agg(*[F.median(c).alias(c) for c in columns]).first() if columns else {}
+    return {c: row[c] for c in columns if row[c] is not None}
+
+
+def fill(df: DataFrame, values: dict[str, float]) -> DataFrame:
+    """NULLs, not NaN, replaced by the column's value."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()}) if values else df
+
+
 def column_statistics(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """(feature, missing, variance) in one pass, long form."""
     columns = list(columns)
