@@ -16,7 +16,7 @@ from spindrift.functions import metrics as M
 from spindrift.functions.prefix import with_ranges
 from spindrift.models.cv import group_folds
 from spindrift.models.survival import long_form, normal_p
-from spindrift.operators.columns import impute_median, numeric_columns
+from spindrift.operators.columns import columns_with_gaps, fill, medians, numeric_columns
 from spindrift.shipping import ship
 
 
@@ -136,13 +136,15 @@ def nested_cv(df: DataFrame, features: Iterable[str], outcome: str, group: str,
 
     feats, known = list(features), registry(seed)
     base = group_folds(df.where(F.col(outcome).isNotNull()), group, folds, seed=seed).select(group, F.col(outcome).cast("double").alias("y"), "fold", *[F.col(f).cast("double").alias(f) for f in feats]).cache()
+    gaps = columns_with_gaps(base, feats)
     out = None
     for name in models:
         est, grid = known[name]
         est = est.copy({est.getParam("featuresCol"): "scaled", est.getParam("labelCol"): "y"})
         for k in range(folds):
             tr, te = base.where(F.col("fold") != k), base.where(F.col("fold") == k)
-            tr, te = impute_median(tr, feats), impute_median(te, feats, tr)
+            middle = medians(tr, gaps)  # of the training rows, once for all fits
+            tr, te = fill(tr, middle), fill(te, middle)
             tr = group_folds(tr.drop("fold"), group, inner, seed=seed + 1)
             steps = [VectorAssembler(inputCols=feats, outputCol="v", handleInvalid="skip"), StandardScaler(inputCol="v", outputCol="scaled", withMean=True)]
             if grid:
